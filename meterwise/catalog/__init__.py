@@ -12,7 +12,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
-_PARTS = ["cleaning"]
+_PARTS = ["cleaning", "ingest", "zones", "sampling", "outliers", "features", "profiling"]
 
 
 def query(name: str, sql: str | None = None):

@@ -1,40 +1,67 @@
 """Helpers shared by the registered queries."""
 
+import uuid
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterwise import constants as C
 from meterwise.operators import cleaning
+from meterwise.session import checkpoint_dir
 from meterwise.sources import driver_tables as dt
 
 
+_FRAMES: dict[tuple, DataFrame] = {}
+
+
+def _declared_once(build):
+    """Reuse the lazily declared frame (not its data) between queries of one session."""
+
+    @wraps(build)
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        key = (build.__name__, spark.sparkContext.applicationId, sf)
+        if key not in _FRAMES:
+            _FRAMES[key] = build(spark, sf)
+        return _FRAMES[key]
+
+    return get
+
+
+@_declared_once
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     return dt.trips_raw(spark, sf)
 
 
+@_declared_once
 def zones(spark: SparkSession, sf: str) -> DataFrame:
     return dt.zones(spark, sf)
 
 
+@_declared_once
 def valid(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.valid_trips(raw(spark, sf), ["year", "trip_key"])
 
 
+@_declared_once
 def gated(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.gated_trips(raw(spark, sf), zones(spark, sf), ["year", "trip_key"])
 
 
+@_declared_once
 def rated(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.rated_trips(
-        raw(spark, sf), zones(spark, sf), dt.RULES, ["year", "trip_key"]
-    )
+    return cleaning.rated_trips(raw(spark, sf), zones(spark, sf), dt.RULES, ["year", "trip_key"])
 
 
+@_declared_once
 def clean(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.clean_trips(
-        raw(spark, sf), zones(spark, sf), dt.RULES, ["year", "trip_key"]
-    )
+    return cleaning.clean_trips(raw(spark, sf), zones(spark, sf), dt.RULES, ["year", "trip_key"])
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def plain(df: DataFrame, digits: int | None = None) -> DataFrame:

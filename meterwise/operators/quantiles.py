@@ -20,25 +20,22 @@ def _bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * _BUCKETS_PER_UNIT)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def value_counts(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
     measures: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Distinct non-null values per group with summed measures (a row count by default)."""
+    """Distinct non-null values per group with summed measures (a row count by default).
+
+    Nulls are dropped by their zero count after the aggregation. A plain null filter would be
+    pushed below the shuffle and make it differ between branches that could share it.
+    """
     measures = measures or {"n": F.count(F.lit(1))}
-    kept = df.where(F.col(value).isNotNull()).withColumn("_bucket", _bucket(F.col(value)))
-    return kept.groupBy(*groups, "_bucket", value).agg(
-        *[m.alias(name) for name, m in measures.items()]
+    counted = df.groupBy(*groups, _bucket(F.col(value)).alias("_bucket"), value).agg(
+        F.count(value).alias("_seen"), *[m.alias(name) for name, m in measures.items()]
     )
+    return counted.where(F.col("_seen") > 0).drop("_seen")
 
 
 def running_totals(
@@ -72,30 +69,36 @@ def running_totals(
     )
 
 
+def quantile_parts(value: str, probs: dict[str, float], where: Column | None = None) -> list[Column]:
+    """Aggregates over ``running_totals`` output that pick the two neighbours of each quantile."""
+    first, past = F.col("n_before"), F.col("n_before") + F.col("n")
+    parts = []
+    for name, p in probs.items():
+        position = F.lit(float(p)) * (F.col("n_total") - 1)
+        for side, at in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+            hit = (first <= at) & (at < past)
+            hit = hit if where is None else where & hit
+            parts.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}_{name}"))
+        shift = position - F.floor(position)
+        shift = shift if where is None else F.when(where, shift)
+        parts.append(F.max(shift).alias(f"_w_{name}"))
+    return parts
+
+
+def quantile_value(name: str) -> Column:
+    """Interpolate between the two neighbours picked by ``quantile_parts``."""
+    low, high, weight = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_w_{name}")
+    mixed = low * (1.0 - weight) + high * weight
+    return F.when(weight == 0, low).otherwise(mixed).alias(name)
+
+
 def quantiles_of_counts(
     counts: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Interpolated quantiles from distinct values with counts, one column per name."""
     ranked = running_totals(counts, groups, value)
-    first, past = F.col("n_before"), F.col("n_before") + F.col("n")
-    at = {name: F.lit(float(p)) * (F.col("n_total") - 1) for name, p in probs.items()}
-
-    def value_at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position < past), F.col(value)))
-
-    picked = ranked.groupBy(*groups).agg(
-        F.max("n_total").alias("n_total"),
-        *[value_at(F.floor(p)).alias(f"_lo_{name}") for name, p in at.items()],
-        *[value_at(F.ceil(p)).alias(f"_hi_{name}") for name, p in at.items()],
-    )
-    out = [*groups]
-    for name, p in at.items():
-        weight = p - F.floor(p)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append(
-            F.when(weight == 0, low).otherwise(low * (1.0 - weight) + high * weight).alias(name)
-        )
-    return picked.select(*out)
+    picked = ranked.groupBy(*groups).agg(*quantile_parts(value, probs))
+    return picked.select(*groups, *[quantile_value(name) for name in probs])
 
 
 def exact_quantiles(
@@ -124,9 +127,13 @@ def column_quantiles(
 
 
 def average_ranks(
-    df: DataFrame, groups: Sequence[str], value: str
+    df: DataFrame, groups: Sequence[str], value: str, rows: Column | None = None
 ) -> DataFrame:
-    """Distinct values per group with their average rank and the group's row count."""
-    ranked = running_totals(value_counts(df, groups, value), groups, value)
+    """Distinct values per group with their average rank and the group's row count.
+
+    ``rows`` is the aggregate that counts rows; it defaults to one per input row.
+    """
+    counts = value_counts(df, groups, value, {"n": rows} if rows is not None else None)
+    ranked = running_totals(counts, groups, value)
     rank = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
     return ranked.select(*groups, value, rank.alias("rank"), F.col("n_total").alias("rows"))

@@ -9,7 +9,15 @@ from meterwise import constants as C
 from meterwise.functions import labels
 from meterwise.functions.numeric import clip
 from meterwise.operators.cleaning import zone_table
-from meterwise.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
+from meterwise.operators.quantiles import (
+    exact_quantiles,
+    long_values,
+    quantile_parts,
+    quantile_value,
+    running_totals,
+    value_counts,
+)
+from meterwise.session import settle
 
 
 def guarded_rate(tip: Column, fare: Column) -> Column:
@@ -63,43 +71,40 @@ def reliable(n: Column, iqr: Column, median: Column) -> Column:
 def zone_aggregates(trips: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Means, medians, winsorised rate, revenue rate, trips and interquartile range per zone.
 
-    Trips are reduced once to distinct (zone, tip, fare) with counts. Every statistic below
-    is a weighted computation on that table, so the trips themselves are scanned and shuffled
-    a single time and a busy zone is already combined on the map side.
+    Tips, fares and rates are reduced together to distinct (zone, measure, value) with counts.
+    Every statistic is a weighted computation on that table: the trips are scanned once, a busy
+    zone is combined on the map side, and the bounds are joined back to distinct rates only.
     """
     keys = [*by, "zone_id"]
-    rows = rate_rows(trips, by)
-    pairs = rows.groupBy(*keys, "tip_amount", "fare_amount", "tip_rate").agg(
-        F.count(F.lit(1)).alias("n")
+    measures = ["tip_amount", "fare_amount", "tip_rate"]
+    counts = value_counts(
+        long_values(rate_rows(trips, by), measures, keys), [*keys, "column"], "value"
     )
-    weight = {"n": F.sum("n")}
-    tips = value_counts(pairs, keys, "tip_amount", weight)
-    rates = value_counts(pairs, keys, "tip_rate", weight)
-    tip_marks = quantiles_of_counts(
-        tips, keys, "tip_amount", {"med_tip": 0.5, "tip_q25": 0.25, "tip_q75": 0.75}
+    ranked = settle(running_totals(counts, [*keys, "column"], "value"))
+    is_tip, is_fare, is_rate = (F.col("column") == m for m in measures)
+    weighted = F.col("value") * F.col("n")
+    picked = ranked.groupBy(*keys).agg(
+        *quantile_parts("value", {"med_tip": 0.5, "tip_q25": 0.25, "tip_q75": 0.75}, is_tip),
+        *quantile_parts("value", {"q_low": C.ZONE_WINSOR[0], "q_high": C.ZONE_WINSOR[1]}, is_rate),
+        F.sum(F.when(is_tip, weighted)).alias("tip_sum"),
+        F.sum(F.when(is_fare, weighted)).alias("fare_sum"),
+        F.sum(F.when(is_tip, F.col("n"))).alias("num_trips"),
     )
-    bounds = quantiles_of_counts(
-        rates, keys, "tip_rate", {"q_low": C.ZONE_WINSOR[0], "q_high": C.ZONE_WINSOR[1]}
-    )
-    clipped = clip(F.col("tip_rate"), F.col("q_low"), F.col("q_high"))
+    stats = picked.select(
+        *keys,
+        *[quantile_value(q) for q in ("med_tip", "tip_q25", "tip_q75", "q_low", "q_high")],
+        (F.col("tip_sum") / F.col("num_trips")).alias("avg_tip"),
+        (F.col("fare_sum") / F.col("num_trips")).alias("avg_fare"),
+        (F.try_divide("tip_sum", "fare_sum") * 100.0).alias("avg_rate_revenue"),
+        "num_trips",
+    ).withColumn("iqr", F.col("tip_q75") - F.col("tip_q25"))
+    clipped = clip(F.col("value"), F.col("q_low"), F.col("q_high"))
     mean_rate = (
-        join_bounds(rates, bounds, keys)
+        join_bounds(ranked.where(is_rate), stats.select(*keys, "q_low", "q_high"), keys)
         .groupBy(*keys)
         .agg((F.sum(clipped * F.col("n")) / F.sum("n") * 100.0).alias("avg_rate"))
     )
-    tip_sum = F.sum(F.col("tip_amount") * F.col("n"))
-    fare_sum = F.sum(F.col("fare_amount") * F.col("n"))
-    totals = pairs.groupBy(*keys).agg(
-        (tip_sum / F.sum("n")).alias("avg_tip"),
-        (fare_sum / F.sum("n")).alias("avg_fare"),
-        (F.try_divide(tip_sum, fare_sum) * 100.0).alias("avg_rate_revenue"),
-        F.sum("n").alias("num_trips"),
-    )
-    return (
-        totals.join(tip_marks, keys, "left")
-        .join(mean_rate, keys, "left")
-        .withColumn("iqr", F.col("tip_q75") - F.col("tip_q25"))
-    )
+    return stats.join(mean_rate, keys, "left")
 
 
 STATS = ["avg_tip", "med_tip", "avg_fare", "avg_rate", "avg_rate_revenue", "num_trips"]
@@ -157,9 +162,8 @@ def robust_range(stats: DataFrame, metric: str, is_rate: bool = False) -> DataFr
 
 def metric_position(stats: DataFrame, metric: str, value_range: DataFrame) -> DataFrame:
     """Where each value sits in the range, clamped to [0, 1]; null stays null."""
-    low = value_range.select("vmin").scalar()
-    high = value_range.select("vmax").scalar()
-    position = F.try_divide(F.col(metric) - low, high - low)
+    span = value_range.select(F.struct("vmin", "vmax")).scalar()
+    position = F.try_divide(F.col(metric) - span["vmin"], span["vmax"] - span["vmin"])
     return stats.withColumn(f"{metric}_position", clip(position, 0.0, 1.0))
 
 

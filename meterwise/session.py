@@ -2,7 +2,7 @@
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # The JVM never JIT-compiles a method above 8000 bytes of bytecode. Wide projections such as
@@ -50,3 +50,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared)
     return shared
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a reduced table that several branches read.
+
+    The expensive scan below it then runs once, later plans stay small, and a lost executor
+    costs a re-read from shared storage instead of the whole lineage.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
