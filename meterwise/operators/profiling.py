@@ -24,6 +24,12 @@ def _num(column: str) -> Column:
     return F.col(f"`{column}`").cast("double")
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation over rows where both are present; null when either is constant."""
+    x, y = F.when(_num(b).isNotNull(), _num(a)), F.when(_num(a).isNotNull(), _num(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def per_column(
     df: DataFrame, columns: Sequence[str], measures: dict[str, object], label: str = "feature"
 ) -> DataFrame:
@@ -239,7 +245,7 @@ def pearson_with_target(df: DataFrame, columns: Sequence[str], y: str = "y") ->
             "pairs": lambda c: F.count(paired(c)),
             "varies": lambda c: (F.min(paired(c)) < F.max(paired(c)))
             & (F.min(target_of(c)) < F.max(target_of(c))),
-            "pearson_corr": lambda c: F.corr(_num(c), target),
+            "pearson_corr": lambda c: correlation(c, y),
         },
     )
     return table.where((F.col("pairs") >= 3) & F.col("varies")).select("feature", "pearson_corr")
@@ -307,7 +313,7 @@ def high_correlations(
     varies = {c: F.min(_num(c)) < F.max(_num(c)) for c in columns}
     wide = df.agg(
         *[
-            F.when(varies[a] & varies[b], F.abs(F.corr(_num(a), _num(b)))).alias(str(i))
+            F.when(varies[a] & varies[b], F.abs(correlation(a, b))).alias(str(i))
             for i, (a, b) in enumerate(pairs)
         ]
     )
