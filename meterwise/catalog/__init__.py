@@ -12,7 +12,10 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
-_PARTS = ["cleaning", "ingest", "zones", "sampling", "outliers", "features", "profiling"]
+_PARTS = [
+    "cleaning", "ingest", "zones", "sampling", "outliers", "features", "profiling", "segments",
+    "modelling",
+]
 
 
 def query(name: str, sql: str | None = None):
