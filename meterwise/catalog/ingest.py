@@ -18,7 +18,8 @@ def _monthly(spark, sf, label):
     """Raw trips of the table written as one folder per year and month."""
     path = scratch(spark, label)
     tagged = raw(spark, sf).withColumn("month", F.month("tpep_pickup_datetime"))
-    tagged.drop("trip_key").write.partitionBy("year", "month").parquet(path)
+    months = tagged.drop("trip_key").repartition("year", "month")
+    months.write.partitionBy("year", "month").parquet(path)
     return path
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_BUCKETS_PER_UNIT = 256
+# Enough to spread one huge group over tens of tasks, few enough to keep the bucket table small.
+_BUCKETS_PER_UNIT = 16
 
 
 def _bucket(value: Column) -> Column:

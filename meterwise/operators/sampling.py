@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meterwise.session import settle
+
 _HEX_DIGITS = 4
 
 
@@ -70,11 +72,25 @@ def mark_by_hash(
 
 
 def take_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, the same ones on every run."""
+    """Exactly ``min(n, rows)`` rows, the same ones on every run.
+
+    Two scans: a histogram over the hash prefixes, which reads the keys only, and one filter up
+    to the boundary bucket. Those rows (n and a 65,536th of the table) are settled, and the exact
+    cut inside the boundary bucket is made on them.
+    """
     if n <= 0:
         raise ValueError(f"sample size must be positive (got {n})")
-    cut = _cuts(df, keys, seed, F.lit(n), ()).scalar()
-    return df.where(row_hash(keys, seed) <= cut)
+    hashed = df.withColumn("_h", row_hash(keys, seed))
+    prefix = F.substring("_h", 1, _HEX_DIGITS)
+    counts = hashed.groupBy(prefix.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    boundary = counts.withColumn("upto", upto).where(F.col("upto") >= n).orderBy("bucket").first()
+    if boundary is None:
+        return df
+    need = n - (boundary["upto"] - boundary["n"])
+    near = settle(hashed.where(prefix <= boundary["bucket"]))
+    edge = near.where(prefix == boundary["bucket"]).select("_h").orderBy("_h").limit(need)
+    return near.where(F.col("_h") <= edge.agg(F.max("_h")).scalar()).drop("_h")
 
 
 def cap_rows(df: DataFrame, max_rows: int | None, keys: Sequence[str], seed: int = 42) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meterwise import constants as C
 from meterwise.functions import labels
 from meterwise.functions.numeric import clip
+from meterwise.functions.sizing import broadcast_within
 from meterwise.operators.cleaning import zone_table
 from meterwise.operators.quantiles import (
     exact_quantiles,
@@ -40,17 +41,19 @@ def rate_rows(trips: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def group_bounds(
     df: DataFrame, groups: Sequence[str], value: str, quantiles=C.ZONE_WINSOR
 ) -> DataFrame:
-    """Low and high quantile of a column per group."""
-    return exact_quantiles(df, groups, value, {"q_low": quantiles[0], "q_high": quantiles[1]})
+    """Low and high quantile of a column per group, settled as a small table."""
+    probs = {"q_low": quantiles[0], "q_high": quantiles[1]}
+    return settle(exact_quantiles(df, groups, value, probs))
 
 
 def join_bounds(df: DataFrame, bounds: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Attach per-group bounds to rows; groups without bounds get null.
 
-    The bounds hold one row per group. No hint is given: Spark broadcasts them when they are
-    small and otherwise splits hot groups of the row side by adaptive skew handling.
+    The bounds hold one row per group. They are broadcast when a row check allows it, so the rows
+    are not shuffled and a hot group stays spread; beyond the check Spark joins by shuffle and
+    splits hot groups by adaptive skew handling.
     """
-    return df.join(bounds, list(groups), "left")
+    return df.join(broadcast_within(bounds), list(groups), "left")
 
 
 def winsorise_by_group(
@@ -90,14 +93,14 @@ def zone_aggregates(trips: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum(F.when(is_fare, weighted)).alias("fare_sum"),
         F.sum(F.when(is_tip, F.col("n"))).alias("num_trips"),
     )
-    stats = picked.select(
+    stats = settle(picked.select(
         *keys,
         *[quantile_value(q) for q in ("med_tip", "tip_q25", "tip_q75", "q_low", "q_high")],
         (F.col("tip_sum") / F.col("num_trips")).alias("avg_tip"),
         (F.col("fare_sum") / F.col("num_trips")).alias("avg_fare"),
         (F.try_divide("tip_sum", "fare_sum") * 100.0).alias("avg_rate_revenue"),
         "num_trips",
-    ).withColumn("iqr", F.col("tip_q75") - F.col("tip_q25"))
+    ).withColumn("iqr", F.col("tip_q75") - F.col("tip_q25")))
     clipped = clip(F.col("value"), F.col("q_low"), F.col("q_high"))
     mean_rate = (
         join_bounds(ranked.where(is_rate), stats.select(*keys, "q_low", "q_high"), keys)

@@ -1,6 +1,7 @@
 """Reading monthly trip files, bringing them to one schema, and writing yearly tables."""
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 from meterwise import constants as C
 
 
+# Only footers are read to learn the schemas, so the driver waits on storage, not on work.
+_FOOTER_READERS = 16
+
+
 def monthly_files(spark: SparkSession, pattern: str) -> list[str]:
     """Sorted paths that match a glob on any Hadoop file system; an empty match is an error."""
     jvm = spark.sparkContext._jvm
@@ -41,8 +46,10 @@ def read_months(
     each group is one scan, so the number of scans is the number of distinct schemas.
     """
     by_schema: dict[str, list[str]] = {}
-    for file in files:
-        by_schema.setdefault(spark.read.parquet(file).schema.json(), []).append(file)
+    with ThreadPoolExecutor(max_workers=_FOOTER_READERS) as pool:
+        schemas = pool.map(lambda file: spark.read.parquet(file).schema.json(), files)
+        for file, schema in zip(files, schemas, strict=True):
+            by_schema.setdefault(schema, []).append(file)
     parts = [conform(spark.read.parquet(*group), columns) for group in by_schema.values()]
     return reduce(DataFrame.unionByName, parts)
 
