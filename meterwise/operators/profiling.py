@@ -31,33 +31,27 @@ def correlation(a: str, b: str) -> Column:
 
 
 def per_column(
-    df: DataFrame, columns: Sequence[str], measures: dict[str, object], label: str = "feature"
+    df: DataFrame,
+    columns: Sequence[str],
+    measures: dict[str, Column],
+    label: str = "feature",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One aggregation over all columns, returned as one row per column.
+    """One row per column with aggregates over ``value`` (and the ``keep`` columns).
 
-    ``measures`` maps a result name to a function from a column name to an aggregate.
+    Rows are unpivoted and grouped by column name. The map side combines them to one row per
+    column and task, and the generated code stays small however many columns there are; one wide
+    aggregation grows past what the JVM compiles.
     """
-    wide = df.agg(
-        *[fn(c).alias(f"{i}.{name}") for i, c in enumerate(columns) for name, fn in measures.items()]
-    )
-    rows = [
-        F.struct(
-            F.lit(c).alias(label),
-            F.lit(i).alias("position"),
-            *[F.col(f"`{i}.{name}`").alias(name) for name in measures],
-        )
-        for i, c in enumerate(columns)
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+    grouped = long_values(df, columns, keep).groupBy(F.col("column").alias(label))
+    return grouped.agg(*[m.alias(name) for name, m in measures.items()])
 
 
 def missingness(df: DataFrame) -> DataFrame:
     """Share of nulls per column, only columns with any, largest first."""
-    share = per_column(
-        df, df.columns, {"missing": lambda c: F.avg(F.col(f"`{c}`").isNull().cast("int"))}
-    )
-    kept = share.where(F.col("missing") > 0).select(F.col("feature").alias("column"), "missing")
-    return kept.orderBy(F.col("missing").desc(), "column")
+    flags = df.select(*[F.col(f"`{c}`").isNull().cast("int").alias(c) for c in df.columns])
+    share = per_column(flags, df.columns, {"missing": F.avg("value")}, "column")
+    return share.where(F.col("missing") > 0).orderBy(F.col("missing").desc(), "column")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -66,13 +60,13 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         df,
         columns,
         {
-            "mean": lambda c: F.avg(_num(c)),
-            "std": lambda c: F.stddev_samp(_num(c)),
-            "min": lambda c: F.min(_num(c)),
-            "max": lambda c: F.max(_num(c)),
+            "mean": F.avg("value"),
+            "std": F.stddev_samp("value"),
+            "min": F.min("value"),
+            "max": F.max("value"),
         },
         "column",
-    ).drop("position")
+    )
     marks = column_quantiles(df, columns, {"q01": 0.01, "q50": 0.5, "q99": 0.99})
     return basics.join(marks, "column", "left")
 
@@ -89,12 +83,13 @@ def variable_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if len(rows) < len(columns):
         raise ValueError("a column has no numeric values")
 
-    def beyond(c):
-        low, high = rows[c]["iqr_low"], rows[c]["iqr_high"]
-        return F.count_if((_num(c) < low) | (_num(c) > high))
+    def fence(name):
+        pairs = [F.lit(x) for c, r in rows.items() for x in (c, r[name])]
+        return F.create_map(*pairs)[F.col("column")]
 
+    beyond = (F.col("value") < fence("iqr_low")) | (F.col("value") > fence("iqr_high"))
     counts = per_column(
-        df, columns, {"n": lambda c: F.count(_num(c)), "outliers": beyond}, "column"
+        df, columns, {"n": F.count("value"), "outliers": F.count_if(beyond)}, "column"
     )
     known = df.sparkSession.createDataFrame(
         [(c, r["q01"], r["q99"], r["iqr_low"], r["iqr_high"]) for c, r in rows.items()],
@@ -151,10 +146,10 @@ def skew_profile(
         df,
         columns,
         {
-            "n": lambda c: F.count(_num(c)),
-            "g1": lambda c: F.skewness(_num(c)),
-            "min": lambda c: F.min(_num(c)),
-            "max": lambda c: F.max(_num(c)),
+            "n": F.count("value"),
+            "g1": F.skewness("value"),
+            "min": F.min("value"),
+            "max": F.max("value"),
         },
     ).where(F.col("n") > 0)
     marks = column_quantiles(
@@ -230,25 +225,23 @@ def groups_by_kind(table: DataFrame) -> dict[str, list[str]]:
 
 def pearson_with_target(df: DataFrame, columns: Sequence[str], y: str = "y") -> DataFrame:
     """Pearson correlation per feature; constant features and fewer than 3 pairs are skipped."""
-    target = _num(y)
-
-    def paired(c):
-        return F.when(target.isNotNull(), _num(c))
-
-    def target_of(c):
-        return F.when(_num(c).isNotNull(), target)
-
+    value, target = F.col("value"), _num(y)
+    x, t = F.when(target.isNotNull(), value), F.when(value.isNotNull(), target)
     table = per_column(
         df,
         columns,
         {
-            "pairs": lambda c: F.count(paired(c)),
-            "varies": lambda c: (F.min(paired(c)) < F.max(paired(c)))
-            & (F.min(target_of(c)) < F.max(target_of(c))),
-            "pearson_corr": lambda c: correlation(c, y),
+            "pairs": F.count(x),
+            "varies": (F.min(x) < F.max(x)) & (F.min(t) < F.max(t)),
+            "shared": F.covar_pop(x, t),
+            "dx": F.stddev_pop(x),
+            "dt": F.stddev_pop(t),
         },
+        keep=[y],
     )
-    return table.where((F.col("pairs") >= 3) & F.col("varies")).select("feature", "pearson_corr")
+    corr = F.try_divide(F.col("shared"), F.col("dx") * F.col("dt"))
+    usable = (F.col("pairs") >= 3) & F.col("varies")
+    return table.where(usable).select("feature", corr.alias("pearson_corr"))
 
 
 def spearman_with_target(df: DataFrame, columns: Sequence[str], y: str = "y") -> DataFrame:
@@ -329,16 +322,16 @@ def high_correlations(
 
 def low_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns with zero or near-zero sample variance."""
-    table = per_column(df, columns, {"variance": lambda c: F.var_samp(_num(c))})
+    table = per_column(df, columns, {"variance": F.var_samp("value")})
     v = F.col("variance")
     level = F.when(v <= C.ZERO_VARIANCE, "zero").when(v <= C.NEAR_ZERO_VARIANCE, "near_zero")
-    return table.withColumn("level", level).where("level IS NOT NULL").drop("position")
+    return table.withColumn("level", level).where("level IS NOT NULL")
 
 
 def variances(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     if not columns:
         return {}
-    table = per_column(df, columns, {"variance": lambda c: F.var_samp(_num(c))})
+    table = per_column(df, columns, {"variance": F.var_samp("value")})
     return {r["feature"]: r["variance"] for r in table.collect()}
 
 
@@ -348,9 +341,9 @@ def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         df,
         columns,
         {
-            "rows": lambda c: F.count(F.lit(1)),
-            "filled": lambda c: F.count(_num(c)),
-            "same": lambda c: F.min(_num(c)) == F.max(_num(c)),
+            "rows": F.count(F.lit(1)),
+            "filled": F.count("value"),
+            "same": F.min("value") == F.max("value"),
         },
     )
     full = (F.col("filled") == F.col("rows")) & F.col("same")
@@ -379,8 +372,8 @@ def scaling_advice(df: DataFrame, columns: Sequence[str], skews: DataFrame) -> D
         df,
         columns,
         {
-            "std": lambda c: F.stddev_samp(_num(c)),
-            "span": lambda c: F.max(_num(c)) - F.min(_num(c)),
+            "std": F.stddev_samp("value"),
+            "span": F.max("value") - F.min("value"),
         },
     )
 

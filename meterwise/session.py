@@ -1,6 +1,6 @@
 """Session defaults for clusters and for local tests."""
 
-import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,15 +41,17 @@ def build_session(app: str = "meterwise", master: str | None = None, **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names, or a local one when it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="meterwise-checkpoint-", dir=os.environ.get("TMPDIR"))
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared
+    """The folder for checkpoints and hand-over files, shared by all executors.
+
+    The context's own folder comes first, then ``spark.checkpoint.dir``; a temporary folder is
+    made only when neither is set, as in local tests.
+    """
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meterwise-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -69,3 +69,9 @@ def test_flatten_and_stack(spark):
     other = spark.sql("select 0 as year, 5 as extra")
     rows = results.stack_years([results.flatten(nested), other]).collect()
     assert [r["year"] for r in rows] == [0, 1] and rows[0]["a_b"] is None and rows[1]["extra"] is None
+
+
+def test_hand_over_files_go_to_the_configured_folder(spark):
+    from meterwise.session import checkpoint_dir
+
+    assert spark.conf.get("spark.checkpoint.dir") in checkpoint_dir(spark)
