@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.native import chunks, cut, sums_before
+from meterwise.llm.native import chunks, cut, let, sums_before
 
 OPEN, SPLIT, CLOSE, END = "<s>[INST] ", "\n", " [/INST]", "</s>"
 _CONFLICT = r"([<\[])(\\*)(/?(?:s>|INST\]))"
@@ -109,29 +109,28 @@ def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str
     lengths = F.transform(
         "written", lambda t: F.length(t["role"]) + F.length(t["text"]) + len(OPEN + SPLIT + CLOSE + END)
     )
-    spans = F.transform(
-        F.col("turns"),
-        lambda t, i: F.struct(
-            (F.get(F.col("starts"), i) + len(OPEN + SPLIT) + F.length(F.get(F.col("written"), i)["role"])).alias("start"),
-            F.length(F.get(F.col("written"), i)["text"]).cast("long").alias("length"),
-            (t["role"] == learn_role).alias("learnt"),
-        ),
-    )
-    done = done.withColumn("starts", sums_before(lengths)).withColumn("spans", spans)
+
+    def span(turn: Column, start: Column) -> Column:
+        return F.struct(
+            (start + len(OPEN + SPLIT) + F.length(turn["role"])).alias("start"),
+            F.length(turn["text"]).cast("long").alias("length"),
+        )
+
+    spans = F.zip_with("written", sums_before(lengths), span)
+    learnt = F.zip_with(spans, F.transform("turns", lambda t: t["role"] == learn_role), lambda s, on: F.when(on, s))
     return done.select(
-        id_col, "turns", "formatted", "escaped",
-        F.transform(
-            F.filter("spans", lambda s: s["learnt"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))
-        ).alias("loss_spans"),
+        id_col, "turns", "formatted", "escaped", F.filter(learnt, lambda s: s.isNotNull()).alias("loss_spans")
     )
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """What the formatted text itself says: ``parsed`` turns and ``loss_text`` under the mask."""
-    pieces = formatted.withColumn("pieces", chunks(F.col("formatted")))
-    masked = F.transform(
-        F.col("loss_spans"), lambda s: unescape_text(cut(F.col("pieces"), s["start"], s["length"]))
+    masked = let(
+        chunks(F.col("formatted")),
+        lambda pieces: F.transform(
+            "loss_spans", lambda s: unescape_text(cut(pieces, s["start"], s["length"]))
+        ),
     )
-    return pieces.select(
+    return formatted.select(
         id_col, "formatted", parse(F.col("formatted")).alias("parsed"), F.array_join(masked, "").alias("loss_text")
     )

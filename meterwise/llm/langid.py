@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterwise.llm.storage import hand_over
+
 ORDERS = (1, 2, 3)
 BITS = 15
 SMOOTHING = 0.5
@@ -125,10 +127,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: i
 
     known = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     known = known.where("t is not null and l is not null")
-    sums = (
+    sums = hand_over(
         known.mapInArrow(count, "lang string, bucket bigint, n bigint")
         .groupBy("lang", "bucket")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n")),
+        "ngrams",
     )
     langs = sorted(r.lang for r in sums.where("bucket = -1").select("lang").limit(max_langs + 1).collect())
     if len(langs) > max_langs:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.llm.native import chunks, cut, sums_before
+from meterwise.llm.native import chunks, cut, let, sums_before
 from meterwise.llm.storage import hand_over, row_key
 
 KINDS = ("email", "ip", "card", "phone")
@@ -47,7 +47,7 @@ def _valid(kind: str, value: Column) -> Column:
         )
     digits = F.length(_digits(value))
     if kind == "card":
-        return digits.between(14, 19) & F.luhn_check(_digits(value))
+        return digits.between(14, 19) & F.call_function("luhn_check", _digits(value))
     if kind == "phone":
         return digits.between(10, 15)
     return F.lit(True)
@@ -58,15 +58,37 @@ def _entity(kind: str, value: Column) -> Column:
     return F.lower(value) if kind in ("email", "ip") else _digits(value)
 
 
-def _spans(text: Column, kind: str) -> tuple[Column, Column]:
-    """All raw matches and the texts between them."""
-    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    between = F.split(text, F.lit(PATTERNS[kind]), F.lit(-1))
+def _found(text: Column, kind: str) -> Column:
+    """All raw matches of a kind (a) and the texts before each (b)."""
+    pattern = F.lit(PATTERNS[kind])
+    matches, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, F.lit(-1))
     if kind in _SIGNS:
         found = F.contains(text, F.lit(_SIGNS[kind]))
-        matches = F.when(found, matches).otherwise(F.array().cast("array<string>"))
-        between = F.when(found, between).otherwise(F.array(F.lit("")))
-    return matches, between
+        none = F.array().cast("array<string>")
+        matches, between = F.when(found, matches).otherwise(none), F.when(found, between).otherwise(none)
+    return F.struct(matches.alias("a"), between.alias("b"))
+
+
+def _kind_spans(text: Column, place: int, kind: str) -> Column:
+    """Valid spans of a kind: (start, place, end, kind, entity)."""
+
+    def span(pair: Column, before: Column) -> Column:
+        start = before + F.length(pair["y"])
+        return F.struct(
+            start.alias("start"), F.lit(place).alias("place"), (start + F.length(pair["x"])).alias("end"),
+            F.lit(kind).alias("kind"),
+            F.when(_valid(kind, pair["x"]), _entity(kind, pair["x"])).alias("entity"),
+        )
+
+    def spans(pairs: Column) -> Column:
+        steps = F.transform(pairs, lambda p: F.length(p["x"]) + F.length(p["y"]))
+        return F.filter(F.zip_with(pairs, sums_before(steps), span), lambda s: s["entity"].isNotNull())
+
+    def pairs(e: Column) -> Column:
+        before = F.slice(e["b"], F.lit(1), F.size(e["a"]))
+        return F.zip_with(e["a"], before, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    return let(_found(text, kind), lambda e: let(pairs(e), spans))
 
 
 def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
@@ -75,40 +97,27 @@ def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
     Matches of a kind are leftmost and do not overlap. Their starts follow from the lengths of
     the matches and of the pieces between them, in code points.
     """
-    for k, kind in enumerate(KINDS):
-        matches, between = _spans(F.col(text_col), kind)
-        docs = docs.withColumns({f"__m{k}": matches, f"__b{k}": between})
-    for k in range(len(KINDS)):
-        m, b = F.col(f"__m{k}"), F.col(f"__b{k}")
-        steps = F.transform(m, lambda x, i, b=b: F.length(x) + F.length(F.get(b, i)))
-        docs = docs.withColumn(f"__s{k}", F.when(F.size(m) > 0, sums_before(steps)).otherwise(F.array().cast("array<bigint>")))
-    found = []
-    for k, kind in enumerate(KINDS):
-        m, b, s = F.col(f"__m{k}"), F.col(f"__b{k}"), F.col(f"__s{k}")
-
-        def span(x: Column, i: Column, b=b, s=s, k=k, kind=kind) -> Column:
-            start = F.get(s, i) + F.length(F.get(b, i))
-            return F.struct(
-                start.alias("start"), F.lit(k).alias("place"), (start + F.length(x)).alias("end"),
-                F.lit(kind).alias("kind"), F.when(_valid(kind, x), _entity(kind, x)).alias("entity"),
-            )
-
-        found.append(F.filter(F.transform(m, span), lambda s: s["entity"].isNotNull()))
-    docs = docs.withColumn("base", F.sort_array(F.concat(*found)))
-    return docs.drop(*[f"__{x}{k}" for x in "mbs" for k in range(len(KINDS))])
+    found = [_kind_spans(F.col(text_col), k, kind) for k, kind in enumerate(KINDS)]
+    return docs.withColumn("base", F.sort_array(F.concat(*found)))
 
 
 def _terms_near(window: Column) -> Column:
     """Terms of a short text with their places in it."""
     matches = F.regexp_extract_all(window, F.lit(_TERM), F.lit(0))
     between = F.split(window, F.lit(_TERM), F.lit(-1))
+    lengths = lambda values: F.aggregate(values, F.lit(0), lambda a, y: a + F.length(y))
+
+    def place(e: Column) -> Column:
+        return F.transform(
+            e["a"],
+            lambda x, i: F.struct(
+                F.lower(x).alias("term"),
+                (lengths(F.slice(e["a"], F.lit(1), i)) + lengths(F.slice(e["b"], F.lit(1), i + 1))).alias("at"),
+                F.length(x).alias("long"),
+            ),
+        )
 
-    def place(x: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(matches, F.lit(1), i), F.lit(0), lambda a, y: a + F.length(y))
-        gaps = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y))
-        return F.struct(F.lower(x).alias("term"), (before + gaps).alias("at"), F.length(x).alias("long"))
-
-    return F.transform(matches, place)
+    return let(F.struct(matches.alias("a"), between.alias("b")), place)
 
 
 def protected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,20 +133,21 @@ def protected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = base_spans(rows, "text")
     # One space on either side stands for the edge of the text; places shift by one.
     padded = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
-    found = found.withColumn("pieces", F.when(F.size("base") > 0, chunks(padded)).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("long", F.length("text") + 2).select("id", "key", "base", "pieces", "long")
 
-    def windows(s: Column) -> Column:
+    def around(s: Column, e: Column) -> Column:
         start, end = s["start"] + 1, s["end"] + 1
         left = F.greatest(start - WINDOW, F.lit(0))
-        right = F.least(end + WINDOW, F.col("long"))
+        right = F.least(end + WINDOW, e["long"])
         return F.struct(
             s["kind"].alias("kind"), s["entity"].alias("entity"),
-            (left - 1).alias("left_at"), cut(F.col("pieces"), left, start - left).alias("left"),
-            (end - 1).alias("right_at"), cut(F.col("pieces"), end, right - end).alias("right"),
+            (left - 1).alias("left_at"), cut(e["pieces"], left, start - left).alias("left"),
+            (end - 1).alias("right_at"), cut(e["pieces"], end, right - end).alias("right"),
         )
 
-    found = found.withColumn("windows", F.transform("base", windows)).drop("pieces", "long")
+    whole = F.struct(chunks(padded).alias("pieces"), F.length(padded).alias("long"))
+    windows = let(whole, lambda e: F.transform("base", lambda s: around(s, e)))
+    none = F.array().cast(found.select(windows).schema[0].dataType)
+    found = found.withColumn("windows", F.when(F.size("base") > 0, windows).otherwise(none)).drop("text")
 
     def marks(w: Column) -> Column:
         context = F.xxhash64(w["left"], w["right"])
@@ -268,24 +278,31 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             F.transform("__added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))),
         )
     )
-    rows = rows.withColumn("__spans", every).withColumn("__pieces", chunks(F.col(text_col)))
-    # The text up to each span, from where the spans before it ended, then its replacement.
-    state = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        begin = F.greatest(s["start"], a["end"])
-        gap = cut(F.col("__pieces"), a["end"], begin - a["end"])
-        body = cut(F.col("__pieces"), s["start"], s["end"] - s["start"])
-        general = F.when(F.lower(F.substring(body, 1, 1)) != F.substring(body, 1, 1), "[NAME]").otherwise("[TERM]")
-        mark = (
-            F.when(s["start"] < a["end"], "").when(s["kind"] == ADDED[0], "")
-            .when(s["kind"] == ADDED[1], general).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    kept = F.col(text_col)
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("out"))
+
+    def replaced(pieces: Column) -> Column:
+        # The text up to each span, from where the spans before it ended, then its replacement.
+        def step(a: Column, s: Column) -> Column:
+            gap = cut(pieces, a["end"], F.greatest(s["start"], a["end"]) - a["end"])
+            first = cut(pieces, s["start"], F.lit(1))
+            general = F.when(F.lower(first) != first, "[NAME]").otherwise("[TERM]")
+            mark = (
+                F.when((s["start"] < a["end"]) | (s["kind"] == ADDED[0]), "")
+                .when(s["kind"] == ADDED[1], general)
+                .otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            )
+            return F.struct(
+                F.greatest(a["end"], s["end"]).alias("end"), F.concat(a["out"], F.array(gap, mark)).alias("out")
+            )
+
+        done = F.aggregate("__spans", start, step)
+        return let(
+            done,
+            lambda d: F.concat(F.array_join(d["out"], ""), cut(pieces, d["end"], F.length(kept) - d["end"])),
         )
-        return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.concat(a["out"], F.array(gap, mark)).alias("out"))
 
-    done = F.aggregate("__spans", state, step)
-    rows = rows.withColumn("__done", done)
-    rest = cut(F.col("__pieces"), F.col("__done.end"), F.length(text_col) - F.col("__done.end"))
+    rows = rows.withColumn("__spans", every)
     return rows.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.concat(F.array_join("__done.out", ""), rest).alias("sanitised")
+        *[F.col(f"`{c}`") for c in docs.columns], let(chunks(kept), replaced).alias("sanitised")
     )
