@@ -5,7 +5,7 @@ The rendered grammar (control strings are fixed values of the template):
     conversation := turn*
     turn         := "<s>[INST] " role "\n" text " [/INST]</s>"
 
-Inside roles and texts a control string is written with a backslash behind its first character,
+Roles and texts hold no control string (``<s>``, ``</s>``, ``[INST]``, ``[/INST]``). Inside roles and texts a control string is written with a backslash behind its first character,
 and one that already has backslashes there gets one more, so no control string remains and the
 change can be undone. A role's line breaks and percent signs are written as ``%0A`` and ``%25``.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from meterwise.llm.native import chunks, cut, let, sums_before
 
 OPEN, SPLIT, CLOSE, END = "<s>[INST] ", "\n", " [/INST]", "</s>"
+_TURN = r"(?s)^<s>\[INST\] ([^\n]*)\n(.*) \[/INST\]\z"
+_CONTROL = r"</?s>|\[/?INST\]"
 _CONFLICT = r"([<\[])(\\*)(/?(?:s>|INST\]))"
 _ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]))"
 
@@ -50,17 +52,22 @@ def render(turns: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a rendered text. What does not follow the grammar parses as a null role."""
+    """The turns of a rendered text.
+
+    What does not follow the grammar, a control string inside a role or text included, parses
+    as a null role and text, which no source has.
+    """
     pieces = F.split(formatted, F.lit(END), F.lit(-1))
     pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    turn = r"(?s)^<s>\[INST\] ([^\n]*)\n(.*) \[/INST\]\z"
-    return F.transform(
-        pieces,
-        lambda p: F.struct(
-            F.when(p.rlike(turn), unescape_role(F.regexp_extract(p, turn, 1))).alias("role"),
-            F.when(p.rlike(turn), unescape_text(F.regexp_extract(p, turn, 2))).alias("text"),
-        ),
-    )
+
+    def turn(piece: Column) -> Column:
+        role, text = F.regexp_extract(piece, _TURN, 1), F.regexp_extract(piece, _TURN, 2)
+        good = piece.rlike(_TURN) & ~role.rlike(_CONTROL) & ~text.rlike(_CONTROL)
+        return F.struct(
+            F.when(good, unescape_role(role)).alias("role"), F.when(good, unescape_text(text)).alias("text")
+        )
+
+    return F.transform(pieces, turn)
 
 
 def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",

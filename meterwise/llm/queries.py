@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterwise.llm import (
-    chat, decontamination, embeddings, langid, mixing, pii, sharding, simhash, toxicity, warc,
+    chat, decontamination, embeddings, langid, mixing, pii, sharding, simhash, sqltext, toxicity,
+    warc,
 )
 from meterwise.session import checkpoint_dir
 
@@ -143,4 +144,9 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_embeddings": op10_embeddings,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_mixing": sqltext.MIXING,
+    "op6_chat": sqltext.CHAT,
+    "op8_warc": sqltext.WARC,
+    "op10_embeddings": sqltext.EMBEDDINGS,
+}
