@@ -37,12 +37,12 @@ def fixed_size_sample(spark, sf):
 
 @query(
     "g01_sampled_percent",
-    S.from_clean("SELECT count(*) AS total_rows, least(count(*), 250000) AS sample_rows, "
-                 "round(least(count(*), 250000) / count(*) * 100, 6) AS sampled_pct FROM clean"),
+    S.from_clean("SELECT count(*) AS total_rows, least(count(*), 2500) AS sample_rows, "
+                 "round(least(count(*), 2500) / count(*) * 100, 6) AS sampled_pct FROM clean"),
 )
 def sampled_percent(spark, sf):
     total = clean(spark, sf)
-    size = ops.take_rows(total, 250_000, KEY, 42).agg(F.count(F.lit(1)))
+    size = ops.take_rows(total, 2_500, KEY, 42).agg(F.count(F.lit(1)))
     return total.agg(F.count(F.lit(1)).alias("total_rows")).select(
         "total_rows", size.scalar().alias("sample_rows")
     ).withColumn("sampled_pct", F.round(F.col("sample_rows") / F.col("total_rows") * 100, 6))
@@ -128,7 +128,7 @@ def capped_export(spark, sf):
 
 @query(
     "g06_metric_subsample",
-    S.from_clean(f"""SELECT trip_key FROM clean ORDER BY {hashed(59)} LIMIT 100000"""),
+    S.from_clean(f"""SELECT trip_key FROM clean ORDER BY {hashed(59)} LIMIT 2000"""),
 )
 def metric_subsample(spark, sf):
-    return ops.cap_rows(clean(spark, sf), 100_000, KEY, 59).select("trip_key")
+    return ops.cap_rows(clean(spark, sf), 2_000, KEY, 59).select("trip_key")

@@ -595,12 +595,12 @@ def persona_overview(spark, sf):
     S.from_clean(
         """SELECT cluster, fare_amount, tolls_amount, passenger_count, trip_distance, duration_min,
 speed_mph, tip_rate_pct, is_airport_trip, pickup_borough, dropoff_borough, pickup_zone_name,
-dropoff_zone_name FROM labelled ORDER BY md5(concat_ws('|', trip_key, '42')) LIMIT 20000""",
+dropoff_zone_name FROM labelled""",
         LABELLED,
     ),
 )
 def assignment_export(spark, sf):
-    return plan.assignment_export(labelled(spark, sf), [KEY], 20_000)
+    return plan.assignment_export(labelled(spark, sf), [KEY])
 
 
 # --- fitted: rows only ---------------------------------------------------------
@@ -622,15 +622,31 @@ def k_grid(spark, sf):
     return plan.evaluate_grid(matrix, [KEY], 2, 5, restarts=1, max_iter=30)
 
 
-@query("k04_silhouette")
-def silhouette(spark, sf):
-    """Distance bands scored on the standardised behaviour columns of the metric sample."""
-    from meterwise.operators import sampling
+_NORM = " + ".join(f"z_{c} * z_{c}" for c in BEHAVIOR)
+_DOT = " + ".join(f"z_{c} * mu_{c}" for c in BEHAVIOR)
+
 
+@query(
+    "k04_silhouette",
+    S.from_clean(
+        f"""SELECT 'cluster' AS labelling, round(avg(CASE WHEN n = 1 THEN 0
+  WHEN greatest(own, nearest) > 0 THEN (nearest - own) / greatest(own, nearest) ELSE 0 END), 6) AS silhouette
+FROM near""",
+        BEHAVIOUR + """,
+z AS (SELECT trip_key, cluster, """ + ", ".join(f"(h.{c} - m_{c}) / s_{c} AS z_{c}" for c in BEHAVIOR) + """
+  FROM held h JOIN labelled l USING (trip_key), moments),
+centre AS (SELECT cluster AS part, count(*) AS n, avg(""" + _NORM + ") AS q, "
+        + ", ".join(f"avg(z_{c}) AS mu_{c}" for c in BEHAVIOR) + """ FROM z GROUP BY cluster),
+far AS (SELECT trip_key, cluster = part AS inside, n, greatest(""" + _NORM + " - 2 * (" + _DOT + """) + q, 0) AS d
+  FROM z, centre),
+near AS (SELECT trip_key, max(n) FILTER (inside) AS n, max(d * n / greatest(n - 1, 1)) FILTER (inside) AS own,
+  min(d) FILTER (NOT inside) AS nearest FROM far GROUP BY trip_key)""",
+    ),
+)
+def silhouette(spark, sf):
+    """Distance bands scored on the standardised behaviour columns of all rows."""
     matrix = plan.behaviour_matrix(segment_rows(spark, sf))
-    rows = band(matrix.frame).select(KEY, *matrix.scaled, "cluster")
-    sample = sampling.cap_rows(rows, metrics.SILHOUETTE_MAX_ROWS, [KEY], C.SEED)
-    return metrics.silhouettes(sample, matrix.scaled, ["cluster"])
+    return rounded(metrics.silhouettes(band(matrix.frame), matrix.scaled, ["cluster"]), "silhouette")
 
 
 @query("k07_centroids")

@@ -28,8 +28,8 @@ CLEAN_COLUMNS = {
     "dropoff_datetime": "timestamp_ntz",
     "passenger_count": "tinyint",
     "rate_code": "tinyint",
-    "pickup_location_id": "smallint",
-    "dropoff_location_id": "smallint",
+    "pickup_location_id": "int",
+    "dropoff_location_id": "int",
     "pickup_borough": "string",
     "pickup_zone_name": "string",
     "dropoff_borough": "string",

@@ -3,8 +3,6 @@
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,64 +146,47 @@ def calinski_harabasz(
     )
 
 
-_BLOCK_ROWS = 512
-SILHOUETTE_MAX_ROWS = 100_000
+def silhouettes(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """(labelling, silhouette): mean silhouette of one or many label columns over all rows.
 
-
-def silhouettes(
-    sample: DataFrame,
-    features: Sequence[str],
-    labels: Sequence[str],
-    max_rows: int = SILHOUETTE_MAX_ROWS,
-) -> DataFrame:
-    """(labelling, silhouette): mean Euclidean silhouette of one or many label columns.
-
-    ``sample`` is the bounded metric sample (at most ``max_rows``, checked), so its matrix can be
-    broadcast; the quadratic distance work is split into row blocks over all executors, and one
-    distance block serves every labelling. Null below three rows or with a single cluster.
+    Distances are squared Euclidean. The mean squared distance from a row to a cluster then
+    follows from the cluster's size, mean and mean squared length, so one aggregation over the
+    labels and one scan replace all pairs. A row alone in its cluster scores 0. Null below three
+    rows or with a single cluster. The per-cluster table has one row per label, which the k of a
+    grid bounds; it becomes part of the plan.
     """
-    spark = sample.sparkSession
-    local = sample.select(*features, *labels).limit(max_rows + 1).toPandas()
-    if len(local) > max_rows:
-        raise ValueError(f"silhouette sample exceeds {max_rows} rows; sample it first")
-    points = local[list(features)].to_numpy(dtype=float)
-    codes = [pd.factorize(local[name])[0] for name in labels]
-    sizes = [np.bincount(c) if len(c) else np.zeros(0, dtype=int) for c in codes]
-    schema = "labelling string, total double, rows long"
-    if len(points) < 3:
-        none = [(name, None) for name in labels]
-        return spark.createDataFrame(none, "labelling string, silhouette double")
-    shared = spark.sparkContext.broadcast((points, (points * points).sum(axis=1), codes, sizes))
-
-    def score(blocks):
-        pts, norms, code_sets, size_sets = shared.value
-        one_hot = [np.eye(len(s))[c] for c, s in zip(code_sets, size_sets, strict=True)]
-        for ids in blocks:
-            for block in ids["id"]:
-                rows = slice(block * _BLOCK_ROWS, min((block + 1) * _BLOCK_ROWS, len(pts)))
-                squared = norms[rows, None] + norms[None, :] - 2.0 * pts[rows] @ pts.T
-                distance = np.sqrt(np.maximum(squared, 0.0))
-                for i, row in enumerate(range(rows.start, rows.stop)):
-                    distance[i, row] = 0.0
-                out = []
-                for name, code, size, hot in zip(labels, code_sets, size_sets, one_hot, strict=True):
-                    mine, at = code[rows], np.arange(rows.stop - rows.start)
-                    sums = distance @ hot
-                    inside = sums[at, mine] / np.maximum(size[mine] - 1, 1)
-                    means = sums / size
-                    means[at, mine] = np.inf
-                    other = means.min(axis=1)
-                    top = np.maximum(inside, other)
-                    value = np.divide(other - inside, top, out=np.zeros_like(top), where=top > 0)
-                    value[size[mine] == 1] = 0.0
-                    out.append((name, float(value.sum()), len(value)))
-                yield pd.DataFrame(out, columns=["labelling", "total", "rows"])
-
-    blocks = -(-len(points) // _BLOCK_ROWS)
-    slots = min(blocks, 4 * spark.sparkContext.defaultParallelism)
-    scored = spark.range(0, blocks, 1, slots).mapInPandas(score, schema)
-    many = [name for name, size in zip(labels, sizes, strict=True) if len(size) > 1]
-    mean = F.sum("total") / F.sum("rows")
-    return scored.groupBy("labelling").agg(
-        F.when(F.col("labelling").isin(*many), mean).alias("silhouette")
+    spark = df.sparkSession
+    norm = reduce(lambda a, b: a + b, [F.col(c) * F.col(c) for c in features])
+    long = df.select(
+        *features,
+        F.inline(
+            F.array(*[F.struct(F.lit(n).alias("labelling"), F.col(n).alias("part")) for n in labels])
+        ),
+    )
+    parts = (
+        long.groupBy("labelling", "part")
+        .agg(F.count("*").alias("n"), F.avg(norm).alias("length"), *[F.avg(c).alias(f"m_{c}") for c in features])
+        .collect()
     )
+    scores = {}
+    for name in labels:
+        mine = [p for p in parts if p["labelling"] == name]
+        if len(mine) < 2 or sum(p["n"] for p in mine) < 3:
+            continue
+        own, other = F.lit(None).cast("double"), []
+        for p in mine:
+            dot = reduce(lambda a, b: a + b, [F.col(c) * F.lit(p[f"m_{c}"]) for c in features])
+            far = F.greatest(F.col("_norm") - F.lit(2.0) * dot + F.lit(p["length"]), F.lit(0.0))
+            inside = F.col(name).eqNullSafe(F.lit(p["part"]))
+            # The row itself lies at distance 0: the sum is shared by the n - 1 others.
+            alone = F.lit(p["n"] / (p["n"] - 1.0)) * far if p["n"] > 1 else F.lit(-1.0)
+            own = F.when(inside, alone).otherwise(own)
+            other.append(F.when(~inside, far))
+        nearest = F.least(*other)
+        top = F.greatest(own, nearest)
+        scores[name] = F.avg(F.when((own < 0) | (top <= 0), 0.0).otherwise((nearest - own) / top))
+    if scores:
+        row = df.withColumn("_norm", norm).agg(*[c.alias(n) for n, c in scores.items()]).first().asDict()
+    else:
+        row = {}
+    return spark.createDataFrame([(n, row.get(n)) for n in labels], "labelling string, silhouette double")

@@ -118,13 +118,18 @@ def reliable_zones(aggregates: DataFrame) -> DataFrame:
 
 
 def keep_all_zones(
-    zones: DataFrame, stats: DataFrame, by: Sequence[str] = ()
+    zones: DataFrame, stats: DataFrame, by: Sequence[str] = (), periods: DataFrame | None = None
 ) -> DataFrame:
-    """Every zone appears (once per year when ``by`` has a year); statistics may be null."""
+    """Every zone appears (once per year when ``by`` has a year); statistics may be null.
+
+    ``periods`` names the years of the table, so that one without any reliable zone keeps its
+    rows; without it they are those of ``stats``.
+    """
     dimension = zone_table(zones)
     if by:
         # The set of years is tiny and exact; each zone row is repeated once per year.
-        years = stats.select(*by).distinct().agg(F.array_sort(F.collect_set(by[0])).alias("y"))
+        known = stats if periods is None else periods
+        years = known.agg(F.array_sort(F.collect_set(by[0])).alias("y"))
         dimension = dimension.withColumn(by[0], F.explode(years.scalar()))
     return dimension.join(stats, [*by, "zone_id"], "left").select(
         *by, "zone_id", "borough", "zone_name", "wkt", *STATS
@@ -137,8 +142,8 @@ def busiest_first(df: DataFrame) -> DataFrame:
 
 def zone_tip_stats(trips: DataFrame, zones: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The zone statistics table; with ``by=["year"]`` all years come from one job."""
-    stats = reliable_zones(zone_aggregates(trips, by))
-    return busiest_first(keep_all_zones(zones, stats, by))
+    every = zone_aggregates(trips, by)
+    return busiest_first(keep_all_zones(zones, reliable_zones(every), by, every))
 
 
 def robust_range(stats: DataFrame, metric: str, is_rate: bool = False) -> DataFrame:

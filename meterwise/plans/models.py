@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ def build_dataset(
     keys: Sequence[str],
     year: int | None = None,
     target: str = "tip_amount",
-    target_rows: int = 250_000,
+    target_rows: int | None = None,
     seed: int = C.SEED,
     outlier_columns: Sequence[str] = C.MODEL_OUTLIER_COLUMNS,
     method: str = "winsor",
@@ -52,9 +52,12 @@ def build_dataset(
     upper: float = C.WINSOR_QUANTILES[1],
     valid_fraction: float = 0.2,
 ) -> Package:
-    """Sample, encode, split by tipped or not, and bound outliers learned on train only."""
+    """Encode, split by tipped or not, and bound outliers learned on train only.
+
+    All rows are used; ``target_rows`` asks for a sample of that size instead.
+    """
     keys = list(keys)
-    rows = sampling.take_rows(trips.pick(clean, year), target_rows, keys, seed)
+    rows = sampling.cap_rows(trips.pick(clean, year), target_rows, keys, seed)
     sample = settle(features.model_sample(rows, keys))
     encoded, _ = features.encode_model_features(sample)
     matrix = features.build_model_matrix(encoded, target, keys)
@@ -386,7 +389,11 @@ FOREST_DEFAULTS = {
 }
 
 
-def boosted_estimator(params: dict, seed: int, stop_column: str | None = None) -> GBTRegressor:
+BOOSTING_PATIENCE = 75
+TUNING_PATIENCE = 50
+
+
+def boosted_estimator(params: dict, seed: int) -> GBTRegressor:
     trees = GBTRegressor(
         featuresCol="features", labelCol="label", seed=seed,
         stepSize=params["learning_rate"], maxIter=params["n_estimators"],
@@ -396,7 +403,32 @@ def boosted_estimator(params: dict, seed: int, stop_column: str | None = None) -
     )
     if params["colsample"] >= 1:
         trees.setFeatureSubsetStrategy("all")
-    return trees.setValidationIndicatorCol(stop_column) if stop_column else trees
+    return trees
+
+
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """Number of rounds with the lowest loss before ``patience`` rounds bring no lower one."""
+    best = 0
+    for at, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = at
+        elif at - best >= patience:
+            break
+    return best + 1
+
+
+def fit_boosted_to_best(params: dict, seed: int, marked: DataFrame, patience: int) -> GBTRegressionModel:
+    """Boosting that stops on the rows marked ``is_valid``, which it does not learn from.
+
+    All rounds are fitted on the other rows, the losses of the marked ones pick the round, and
+    the trees up to that round are fitted again.
+    """
+    learn, held = marked.where("NOT is_valid"), marked.where("is_valid")
+    model = boosted_estimator(params, seed).fit(learn)
+    rounds = best_round(model.evaluateEachIteration(held, "squared"), patience)
+    if rounds == params["n_estimators"]:
+        return model
+    return boosted_estimator({**params, "n_estimators": rounds}, seed).fit(learn)
 
 
 def forest_estimator(params: dict, seed: int) -> RandomForestClassifier:
@@ -492,12 +524,12 @@ def tune_boosted(
     fixed: dict | None = None,
     parallelism: int = 2,
 ) -> Tuning:
-    """Lowest inner RMSE; the inner hold-out also stops the boosting. ``train`` is assembled."""
+    """Lowest inner RMSE; the inner hold-out also picks the round. ``train`` is assembled."""
     inner = sampling.split_rows(train, keys, inner_fraction, seed + 1)
     inner = inner.persist(StorageLevel.MEMORY_AND_DISK)
 
     def score(params):
-        model = boosted_estimator(params, seed, "is_valid").fit(inner)
+        model = fit_boosted_to_best(params, seed, inner, TUNING_PATIENCE)
         rows = _regression_rows(model, inner.where("is_valid"), keys)
         return metrics.regression_metrics(rows).first()["rmse"]
 
@@ -539,8 +571,9 @@ def fit_boosted(
     seed: int = C.SEED,
     trials: int = 0,
     fixed: dict | None = None,
+    patience: int = BOOSTING_PATIENCE,
 ) -> Fit:
-    """Boosted trees on tipped rows, logged and scaled; an inner hold-out stops the boosting."""
+    """Boosted trees on tipped rows, logged and scaled; an inner hold-out picks the round."""
     prep = prepare(
         _positive(package.train), _positive(package.valid), package.keys, package.columns, report,
         log=True, scale=True,
@@ -549,7 +582,11 @@ def fit_boosted(
     tuning = tune_boosted(train, package.keys, trials, seed, fixed=fixed) if trials else None
     params = tuning.best if tuning else {**BOOSTED_DEFAULTS, **(fixed or {})}
     marked = sampling.split_rows(train, package.keys, 0.2, seed + 1)
-    model, seconds = _timed_fit(boosted_estimator(params, seed, "is_valid"), marked)
+    marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
+    started = time.perf_counter()
+    model = fit_boosted_to_best(params, seed, marked, patience)
+    seconds = time.perf_counter() - started
+    marked.unpersist()
     rows = settle(
         _regression_rows(model, _assembled(prep.valid, prep.columns, F.col(Y)), package.keys)
     )

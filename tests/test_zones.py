@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from meterwise.operators import zone_stats as ops
 from tests.conftest import by
 
-TRIPS = "pickup_location_id smallint, tip_amount decimal(9,2), fare_amount decimal(9,2), year int"
+TRIPS = "pickup_location_id int, tip_amount decimal(9,2), fare_amount decimal(9,2), year int"
 
 
 def trips(spark, rows):
@@ -62,6 +62,13 @@ def test_all_years_in_one_job(spark):
         (2019, 7, 100), (2020, 7, 120), (2019, 8, None), (2020, 8, None)}
 
 
+def test_a_year_without_reliable_zones_keeps_its_rows(spark):
+    rows = [(7, 2.0, 10.0, 2019)] * 100 + [(7, 3.0, 10.0, 2020)] * 3 + [(40_000, 1.0, 8.0, 2020)]
+    out = ops.zone_tip_stats(trips(spark, rows), zone_rows(spark, [7, 40_000]), ["year"]).collect()
+    assert {(r["year"], r["zone_id"], r["num_trips"]) for r in out} == {
+        (2019, 7, 100), (2019, 40_000, None), (2020, 7, None), (2020, 40_000, None)}
+
+
 def test_group_winsorise_keeps_nulls_and_single_rows(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, 0.3), (3, 0.0), (3, 1.0)],
                                "zone_id int, r double")
