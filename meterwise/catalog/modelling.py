@@ -15,7 +15,7 @@ from meterwise.sources import results
 
 KEYS = ["trip_key"]
 # Small forests and few boosting rounds; the operators are the same at any size.
-BOOSTED = {"n_estimators": 15, "num_leaves": 31}
+BOOSTED = {"n_estimators": 40, "num_leaves": 31}
 FOREST = {"n_estimators": 15, "max_depth": 8}
 
 
@@ -47,10 +47,6 @@ ready AS (
 train AS (SELECT * FROM ready WHERE NOT is_valid),
 held_out AS (SELECT * FROM ready WHERE is_valid)"""
 
-_SHOWN = ["trip_distance", "duration_min", "fare_amount", "tolls_amount", "extra", "speed_mph",
-          "passenger_count", "hour_Daytime", "month_July", "borough_ASIA"]
-
-
 def _both_parts(data):
     train = data.train.withColumn("is_valid", F.lit(False))
     return train.union(data.valid.withColumn("is_valid", F.lit(True)))
@@ -60,14 +56,14 @@ def _both_parts(data):
     "h25_dataset_builder",
     S.from_clean(
         "SELECT trip_key, is_valid, y, " + ", ".join(
-            f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' for c in _SHOWN
+            f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' for c in FEATURES
         ) + " FROM ready",
         DATASET,
     ),
 )
 def dataset_builder(spark, sf):
     data = plan.build_dataset(clean(spark, sf), KEYS)
-    shown = [F.round(F.col(f"`{c}`").cast("double"), 6).alias(c) for c in _SHOWN]
+    shown = [F.round(F.col(f"`{c}`").cast("double"), 6).alias(c) for c in data.columns]
     return _both_parts(data).select("trip_key", "is_valid", "y", *shown)
 
 
@@ -457,14 +453,17 @@ def suite(spark, sf):
 
 @query("h21_interpretation")
 def interpretation(spark, sf):
-    tables = plan.interpretation(suite(spark, sf), 5)
-    coefs = {"positive": tables["linear_positive"], "negative": tables["linear_negative"]}
-    parts = [t.select(F.lit(side).alias("part"), "feature", F.col("coef").alias("value"))
-             for side, t in coefs.items()]
-    base = tables["baseline"].select(
-        F.lit("baseline").alias("part"), F.lit("tip probability").alias("feature"),
-        F.col("logistic_baseline_tip_prob").alias("value"))
-    return parts[0].union(parts[1]).union(base)
+    """All seven tables, stacked as (part, feature, value)."""
+    out = None
+    for part, table in plan.interpretation(suite(spark, sf), 5).items():
+        if part == "baseline":
+            cells = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in table.columns]
+            rows = table.select(F.inline(F.array(*cells)))
+        else:
+            rows = table.select("feature", F.col(table.columns[1]).alias("value"))
+        rows = rows.select(F.lit(part).alias("part"), "feature", "value")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 @query("h22_model_comparison")
@@ -473,12 +472,23 @@ def model_comparison(spark, sf):
     return run.regression_table.unionByName(run.classification_table, allowMissingColumns=True)
 
 
-@query("h23_full_suite")
+@query(
+    "h23_full_suite",
+    S.from_clean(
+        union(
+            f"SELECT '{fit}' AS fit, count(*) AS rows FROM held_out" + (" WHERE y > 0" if tipped else "")
+            for fit, tipped in (
+                ("naive_regression", True), ("naive_classification", False), ("simple_linear", True),
+                ("simple_logistic", False), ("optimized_regression", True), ("optimized_random_forest", False),
+            )
+        ),
+        DATASET,
+    ),
+)
 def full_suite(spark, sf):
     """Rows predicted by every model of the suite."""
     parts = [
-        fit.predictions.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("fit"), F.lit(fit.name).alias("model"), "rows")
+        fit.predictions.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("fit"), "rows")
         for name, fit in suite(spark, sf).fits.items()
     ]
     table = parts[0]
@@ -489,13 +499,17 @@ def full_suite(spark, sf):
 
 @query("h24_year_summary")
 def year_summary(spark, sf):
-    return plan.year_summary(1999, package(spark, sf), suite(spark, sf))
+    """The summary row of a package of all years: its year is null."""
+    return plan.year_summary(None, package(spark, sf), suite(spark, sf))
 
 
 @query("h26_model_years")
 def model_years(spark, sf):
+    """Every year that the data holds, with few trees."""
     small = {"n_estimators": 5, "num_leaves": 15}
+    rows = clean(spark, sf)
+    years = [r["year"] for r in rows.select("year").distinct().orderBy("year").collect()]
     return plan.model_years(
-        clean(spark, sf), [1999], KEYS, boosted={"fixed": small},
+        rows, years, KEYS, boosted={"fixed": small},
         forest={"fixed": {"n_estimators": 5, "max_depth": 5}},
     )

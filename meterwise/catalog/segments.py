@@ -482,40 +482,99 @@ def scaler_summary(spark, sf):
     return rounded(plan.scaler_table(spark, matrix.scaler), "mean_", "scale_")
 
 
+def _top_sql(zone: str) -> str:
+    """The ten most frequent zones per cluster, with their rank."""
+    return f"""SELECT cluster, {zone} AS zone, count(*) AS n,
+  row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, {zone}) AS rank,
+  n / sum(n) OVER (PARTITION BY cluster) * 100 AS pct
+FROM labelled GROUP BY cluster, {zone} QUALIFY rank <= 10"""
+
+
+def _stacked_sql(part: str, table: str, columns) -> list[str]:
+    return [
+        f"""SELECT '{part}' AS part, cluster, '{c}' AS name, CAST("{c}" AS DOUBLE) AS value, NULL AS label FROM {table}"""
+        for c in columns
+    ]
+
+
+_MIX = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_SIDES = {"pickup": _MIX, "dropoff": [*_MIX, "Unknown"]}
+BUNDLE = MEANS + """,
+idx AS (SELECT cluster, """ + ", ".join(
+    f"round_even({c} / (SELECT avg({c}) FROM labelled), 3) AS {c}" for c in BEHAVIOR
+) + """ FROM means),
+rates AS (SELECT cluster, """ + ", ".join(
+    f'round_even(avg("{c}") * 100, 2) AS "{c}"' for c in DESCRIBED
+) + " FROM labelled GROUP BY cluster)" + "".join(
+    f",\n{side}_mix AS ({mix_sql(side + '_borough')}),\n{side}_top AS ({_top_sql(side + '_zone_name')})"
+    for side in _SIDES
+)
+
+
 @query(
     "k09_summary_bundle",
     S.from_clean(
         union(
-            [f"""SELECT 'means' AS part, cluster, '{c}' AS name, {c} AS value FROM means"""
-             for c in BEHAVIOR]
-            + ["SELECT 'size', cluster, 'n_rows', CAST(n_rows AS DOUBLE) FROM sizes",
-               "SELECT 'pickup', cluster, pickup_zone_name, CAST(count AS DOUBLE) FROM top"]
-            + [f"""SELECT 'rates', cluster, '{c}', round_even(avg("{c}") * 100, 2) FROM labelled
-GROUP BY cluster""" for c in DESCRIBED]
+            [
+                *_stacked_sql("cluster_size", "sizes", ["n_rows"]),
+                "SELECT 'cluster_size', cluster, 'pct_rows', round(pct_rows, 6), NULL FROM sizes",
+                *_stacked_sql("behavioral_means", "means", BEHAVIOR),
+                *_stacked_sql("behavioral_index", "idx", BEHAVIOR),
+                *_stacked_sql("descriptive_rates_pct", "rates", DESCRIBED),
+            ]
+            + [
+                text
+                for side, values in _SIDES.items()
+                for text in (
+                    *_stacked_sql(f"{side}_borough_mix_pct", f"{side}_mix", values),
+                    f"SELECT 'top_{side}_zones_long', cluster, zone, CAST(n AS DOUBLE), rank || ' ' || round(pct, 4)::DECIMAL(9,4) FROM {side}_top",
+                    f"SELECT 'top_{side}_zones_wide', cluster, 'Top ' || rank, NULL, zone FROM {side}_top",
+                )
+            ]
         ),
-        MEANS + "," + TOP[len(LABELLED) + 1:],
+        BUNDLE,
     ),
 )
 def summary_bundle(spark, sf):
-    """The bundle's tables stacked as (part, cluster, name, value)."""
+    """All ten tables of the bundle, stacked as (part, cluster, name, value, label)."""
     from meterwise.operators.quantiles import long_values
 
-    tables = plan.summary_tables(labelled(spark, sf), DESCRIBED)
+    tables = plan.summary_tables(labelled(spark, sf).persist(), DESCRIBED)
 
-    def stacked(part, table, columns):
+    def stacked(part, table):
+        columns = [c for c in table.columns if c != "cluster"]
         long = long_values(table, columns, ["cluster"]).withColumnRenamed("column", "name")
-        return long.select(F.lit(part).alias("part"), "cluster", "name", "value")
-
-    top = tables["top_pickup_zones_long"].select(
-        F.lit("pickup").alias("part"), "cluster", F.col("pickup_zone_name").alias("name"),
-        F.col("count").cast("double").alias("value"),
-    )
-    return (
-        stacked("means", tables["behavioral_means"], BEHAVIOR)
-        .union(stacked("size", tables["cluster_size"], ["n_rows"]))
-        .union(stacked("rates", tables["descriptive_rates_pct"], DESCRIBED))
-        .union(top)
-    )
+        return long.select(
+            F.lit(part).alias("part"), "cluster", "name", "value", F.lit(None).cast("string").alias("label")
+        )
+
+    def long_top(part, table, zone):
+        share = F.concat_ws(" ", F.col("rank").cast("string"), F.round("pct_within_cluster", 4).cast("decimal(9,4)").cast("string"))
+        return table.select(
+            F.lit(part).alias("part"), "cluster", F.col(zone).alias("name"),
+            F.col("count").cast("double").alias("value"), share.alias("label"),
+        )
+
+    def wide_top(part, table):
+        places = [c for c in table.columns if c != "cluster"]
+        cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("label")) for c in places])
+        long = table.select("cluster", F.inline(cells)).where("label IS NOT NULL")
+        return long.select(
+            F.lit(part).alias("part"), "cluster", "name", F.lit(None).cast("double").alias("value"), "label"
+        )
+
+    parts = []
+    for part, table in tables.items():
+        if part.endswith("_long"):
+            parts.append(long_top(part, table, f"{part.split('_')[1]}_zone_name"))
+        elif part.endswith("_wide"):
+            parts.append(wide_top(part, table))
+        else:
+            parts.append(stacked(part, rounded(table, "pct_rows") if part == "cluster_size" else table))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 PERSONA = MEANS + """,
@@ -656,16 +715,29 @@ def centroids(spark, sf):
     return scaled.withColumn("units", F.lit("scaled")).union(raw.withColumn("units", F.lit("raw")))
 
 
-@query("d26_inverse_scaling")
+@query(
+    "d26_inverse_scaling",
+    S.from_clean(
+        "SELECT l.cluster, " + ", ".join(f"round(avg(h.{c}), 6) AS {c}" for c in BEHAVIOR)
+        + " FROM held h JOIN labelled l USING (trip_key) GROUP BY l.cluster",
+        BEHAVIOUR,
+    ),
+)
 def inverse_scaling(spark, sf):
-    matrix, _, model = _fitted(spark, sf)
-    scaled, _ = plan.centroid_tables(model, matrix)
-    return outliers.unscale(scaled, matrix.scaler)
+    """Standardised means of the distance bands, brought back to raw units."""
+    matrix = plan.behaviour_matrix(segment_rows(spark, sf))
+    means = band(matrix.frame).groupBy("cluster").agg(
+        *[F.avg(Z).alias(c) for c, Z in zip(matrix.columns, matrix.scaled, strict=True)]
+    )
+    return rounded(outliers.unscale(means, matrix.scaler), *matrix.columns)
 
 
 @query("k15_segment_years")
 def segment_years(spark, sf):
+    """Every year that the data holds."""
+    rows = clean(spark, sf)
+    years = [r["year"] for r in rows.select("year").distinct().orderBy("year").collect()]
     _, summary = plan.segment_years(
-        clean(spark, sf), [1998, 1999], [KEY], k_min=2, k_max=4, grid_restarts=1, final_restarts=1
+        rows, years, [KEY], k_min=2, k_max=4, grid_restarts=1, final_restarts=1
     )
     return summary

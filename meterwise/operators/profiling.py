@@ -350,6 +350,7 @@ def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return table.where(full | (F.col("filled") == 0)).select("feature")
 
 
+# The texts of the advice.
 _ADVICE = {
     "none": "No continuous features detected.",
     "moderate": "Scale differences are moderate; scaling is optional unless model class "

@@ -730,7 +730,7 @@ def interpretation(suite: Suite, n: int = 10) -> dict[str, DataFrame]:
     }
 
 
-def year_summary(year: int, package: Package, suite: Suite) -> DataFrame:
+def year_summary(year: int | None, package: Package, suite: Suite) -> DataFrame:
     """One row: sizes, tip shares, winners and their gain over the naive models."""
     spark = package.train.sparkSession
     shares = {
@@ -752,7 +752,7 @@ def year_summary(year: int, package: Package, suite: Suite) -> DataFrame:
 
     boosted, forest = tuning("optimized_regression"), tuning("optimized_random_forest")
     row = {
-        "year": year,
+        "year": 0,
         "target": package.target,
         "sample_rows": before,
         "train_rows": shares["train"]["rows"],
@@ -780,7 +780,8 @@ def year_summary(year: int, package: Package, suite: Suite) -> DataFrame:
         "opt_rf_tuned": forest is not None,
         "opt_rf_trials": forest.trials if forest else 0,
     }
-    return spark.createDataFrame([row]).select(*row)
+    # A package of several years has no year.
+    return spark.createDataFrame([row]).select(*row).withColumn("year", F.lit(year).cast("bigint"))
 
 
 def export_year(package: Package, suite: Suite, summary: DataFrame, folder: str, n: int = 10):

@@ -30,6 +30,7 @@ def build_session(app: str = "meterwise", master: str | None = None, **conf: str
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         **RUNTIME_SETTINGS,
@@ -44,12 +45,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and hand-over files, shared by all executors.
 
     The context's own folder comes first, then ``spark.checkpoint.dir``; a temporary folder is
-    made only when neither is set, as in local tests.
+    made only when neither is set and all tasks run in this process, as in local tests. On a
+    cluster such a folder would not be shared, so that is an error.
     """
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not folder and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meterwise-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
