@@ -10,6 +10,9 @@ from meterwise.operators import cleaning
 from meterwise.sources import results, trips
 
 
+_MONTH_FILES = 4
+
+
 def cents(c):
     return F.sum(F.round(F.col(c) * 100).cast("bigint"))
 
@@ -18,7 +21,9 @@ def _monthly(spark, sf, label):
     """Raw trips of the table written as one folder per year and month."""
     path = scratch(spark, label)
     tagged = raw(spark, sf).withColumn("month", F.month("tpep_pickup_datetime"))
-    months = tagged.drop("trip_key").repartition("year", "month")
+    # A salt deals each month to several tasks, so a month may hold any share of the rows.
+    salt = F.pmod(F.xxhash64("trip_key"), F.lit(_MONTH_FILES))
+    months = tagged.repartition(F.col("year"), F.col("month"), salt).drop("trip_key")
     months.write.partitionBy("year", "month").parquet(path)
     return path
 

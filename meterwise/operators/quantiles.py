@@ -44,24 +44,23 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<m>_before`` (rows with a smaller value) and ``<m>_total`` to distinct values."""
     keys = [*groups, "_bucket"]
+    # A struct is never null itself, so window and join share one partitioning by plain equality.
+    at = F.struct(*keys).alias("_at")
     buckets = counts.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
     over_buckets = Window.partitionBy(*groups).orderBy("_bucket")
     before = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
     offsets = buckets.select(
-        *[F.col(k).alias(f"_o_{k}") for k in keys],
+        at,
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_o_{m}_before") for m in measures],
         *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
     )
-    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select(
+    inside = Window.partitionBy("_at").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.select("*", at).select(
         "*",
         *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_i_{m}_before") for m in measures],
     )
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & ranked[k].eqNullSafe(offsets[f"_o_{k}"])
-    return ranked.join(offsets, condition).select(
+    return ranked.join(offsets, "_at").select(
         *groups,
         value,
         *measures,

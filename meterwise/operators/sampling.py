@@ -7,6 +7,7 @@ boundary bucket; no task ever sorts or collects the whole table.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 from meterwise.session import settle
 
 _HEX_DIGITS = 4
+MAX_STRATA = 200
 
 
 def row_hash(keys: Sequence[str], seed: int) -> Column:
@@ -66,9 +68,15 @@ def mark_by_hash(
     h = row_hash(keys, seed)
     if not strata:
         return df.withColumn(name, F.coalesce(h <= cuts.scalar(), F.lit(False)))
-    # One row per stratum; strata are class labels, and the hint-free join broadcasts them.
-    marked = df.join(cuts, list(strata), "left")
-    return marked.withColumn(name, F.coalesce(h <= F.col("cut"), F.lit(False))).drop("cut")
+    # Strata are class labels: one cut each, as a CASE expression, so no row is moved.
+    rows = cuts.limit(MAX_STRATA + 1).collect()
+    if len(rows) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    inside = F.lit(False)
+    for row in rows:
+        same = reduce(lambda a, b: a & b, [F.col(s) == F.lit(row[s]) for s in strata])
+        inside = F.when(same, h <= F.lit(row["cut"])).otherwise(inside)
+    return df.withColumn(name, inside)
 
 
 def take_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
