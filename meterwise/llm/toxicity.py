@@ -69,9 +69,9 @@ class Ftrl:
     The last coordinate is the bias, which L1 does not shrink.
     """
 
-    def __init__(self, size: int, z: np.ndarray | None = None, n: np.ndarray | None = None):
-        self.z = np.zeros(size + 1) if z is None else z
-        self.n = np.zeros(size + 1) if n is None else n
+    def __init__(self, size: int):
+        self.z = np.zeros(size + 1)
+        self.n = np.zeros(size + 1)
         self.l1 = np.full(size + 1, L1)
         self.l1[-1] = 0.0
 
@@ -100,8 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``fit_rows`` bounds the sample: labelled ids in the order of their hash, the first
     ``fit_rows`` are used. Features are hashed in parallel; the online learner then reads them
-    as a stream in hash order, once an epoch, in one task that holds its two state arrays and a
-    batch. A label that is null is no label; an id with several labels is toxic if any says so;
+    as a stream in hash order, ``epochs`` times, in one task that holds its two state arrays and
+    a batch. A label that is null is no label; an id with several labels is toxic if any says so;
     repeated documents are learnt as often as they occur. Without labels the model scores 0.5.
     """
     size = 1 << bits
@@ -133,32 +133,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         ),
         "examples",
     )
-    ordered = examples.repartition(1).sortWithinPartitions("ord", "label")
-    z = n = None
-    for _ in range(epochs):
-        state = docs.sparkSession.sparkContext.broadcast((z, n))
-
-        def learn(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            old_z, old_n = state.value
-            learner = Ftrl(size, *(None if x is None else x.copy() for x in (old_z, old_n)))
-            for batch in batches:
-                labels_ = batch.column(1).to_numpy()
-                lists = batch.column(2)
-                for i, label in enumerate(labels_):
-                    learner.update(lists[i].values.to_numpy(zero_copy_only=False), label)
-            at = np.flatnonzero(learner.n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(learner.z[at]), pa.array(learner.n[at])], ["at", "z", "n"]
-            )
+    # The stream holds the examples once per epoch, each epoch in the same order.
+    epoch = F.explode(F.sequence(F.lit(1), F.lit(epochs)))
+    stream = examples.withColumn("epoch", epoch).repartition(1).sortWithinPartitions("epoch", "ord", "label")
 
-        # At most 2^bits + 1 rows: the state of the learner.
-        got = ordered.mapInArrow(learn, "at bigint, z double, n double").toPandas()
-        z, n = np.zeros(size + 1), np.zeros(size + 1)
-        z[got["at"]], n[got["at"]] = got["z"], got["n"]
-    learner = Ftrl(size, z, n)
-    w = learner.weights(np.arange(size + 1))
-    at = np.flatnonzero(w[:-1])
-    return Model(float(w[-1]), at, w[at], bits)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Ftrl(size)
+        for batch in batches:
+            lists = batch.column(1)
+            for i, label in enumerate(batch.column(0).to_numpy()):
+                learner.update(lists[i].values.to_numpy(zero_copy_only=False), label)
+        weight = learner.weights(np.arange(size + 1))
+        at = np.append(np.flatnonzero(weight[:-1]), size)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight[at])], ["at", "weight"])
+
+    # The non-zero weights and the bias.
+    rows = stream.select("label", "features").mapInArrow(learn, "at bigint, weight double").collect()
+    found = sorted((r["at"], r["weight"]) for r in rows)
+    bias = found.pop()[1] if found else 0.0
+    return Model(
+        bias, np.array([a for a, _ in found], np.int64), np.array([w for _, w in found], np.float64), bits
+    )
 
 
 def score_texts(model: Model, texts: list[str | None], dense: np.ndarray | None = None) -> np.ndarray:
