@@ -15,7 +15,7 @@ from meterwise.sources import results
 
 KEYS = ["trip_key"]
 # Small forests and few boosting rounds; the operators are the same at any size.
-BOOSTED = {"n_estimators": 40, "num_leaves": 31}
+BOOSTED = {"n_estimators": 50, "num_leaves": 31, "learning_rate": 0.1}
 FOREST = {"n_estimators": 15, "max_depth": 8}
 
 

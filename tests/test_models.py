@@ -106,6 +106,7 @@ def test_trees_beat_the_naive_models(package, report):
     boosted = plan.fit_boosted(package, report, fixed={"n_estimators": 20, "num_leaves": 15,
                                                        "learning_rate": 0.2})
     naive = plan.naive_regression(package)
+    assert boosted.model.getNumTrees > 1
     assert boosted.metrics.first()["rmse"] < 0.7 * naive.metrics.first()["rmse"]
     forest = plan.fit_forest(package, report, fixed={"n_estimators": 20, "max_depth": 6})
     assert plan.naive_classification(package).metrics.first()["roc_auc"] == 0.5
@@ -113,6 +114,12 @@ def test_trees_beat_the_naive_models(package, report):
     assert all(" " not in r["feature"] for r in boosted.table.collect())
 
 
+def test_best_round_waits_for_patience():
+    losses = [5.0, 4.0, 4.5, 3.9, 4.0, 4.0, 4.0, 1.0]
+    assert plan.best_round(losses, 3) == 4 and plan.best_round(losses, 4) == 8
+    assert plan.best_round([2.0], 5) == 1
+
+
 def test_search_is_seeded_and_bounded(package, report):
     small = {"n_estimators": 3, "num_leaves": 7, "max_depth": 3}
     fit = plan.fit_boosted(package, report, trials=2, fixed=small)
