@@ -11,6 +11,7 @@ from meterwise.llm import (
     chat, decontamination, embeddings, langid, mixing, pii, sharding, simhash, sqltext, toxicity,
     warc,
 )
+from meterwise.llm.storage import hand_over
 from meterwise.session import checkpoint_dir
 
 
@@ -103,7 +104,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
     pages = _table(spark, sf_dir, "pages")
     warc.write_archives(pages, path)
-    captures = warc.assemble(warc.read_archives(spark, path, payloads=False))
+    # Three sides of a join read the records: the archives are parsed once.
+    records = hand_over(warc.read_archives(spark, path, payloads=False), "records")
+    captures = warc.assemble(records)
     page = pages.schema["page_id"].dataType
     kind = F.col("response.kind")
     return captures.select(
