@@ -665,8 +665,10 @@ def assignment_export(spark, sf):
 # --- fitted: rows only ---------------------------------------------------------
 def _fitted(spark, sf, k=4, restarts=2):
     matrix = plan.behaviour_matrix(segment_rows(spark, sf))
-    assembled = plan.assemble(matrix.frame, matrix.scaled).cache()
-    return matrix, assembled, plan.fit_kmeans(assembled, k, C.SEED, restarts, 50)
+    assembled = plan.assemble(matrix.frame, matrix.scaled).persist()
+    model = plan.fit_kmeans(assembled, k, C.SEED, restarts, 50)
+    assembled.unpersist()
+    return matrix, assembled, model
 
 
 @query("k02_kmeans_labels")
