@@ -1,9 +1,10 @@
 """Personal data: exact patterns, and terms that disclose a protected entity.
 
 The second part follows information-theoretic sanitisation. With N documents, an entity c (a
-matched value) has the information IC(c) = -log2 p(c). A term t found near c leaves
-IC(c|t) = -log2 p(c|t) of it, so it discloses the share 1 - IC(c|t) / IC(c). Terms that
-disclose much are removed, terms that disclose less are generalised.
+matched value) has the information IC(c) = -log2 p(c). A term t that stands in documents of c
+leaves IC(c|t) = -log2 p(c|t) of it, so it discloses the share 1 - IC(c|t) / IC(c). Terms that
+disclose much are removed, terms that disclose less are generalised. A value that is too rare to
+be rated itself is rated as its class, the kind of value.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterwise.functions.sizing import broadcast_within
 from meterwise.llm.native import chunks, cut, let, sums_before
 from meterwise.llm.storage import hand_over, row_key
 
@@ -31,6 +33,8 @@ WINDOW = 64
 MIN_CONTEXTS = 3
 REMOVE_AT = 0.9
 GENERALISE_AT = 0.75
+#: Documents at the class's own share that are added to what a term was seen with.
+PRIOR = 3
 #: A term is a run of three letters or more between white space, but for punctuation around it.
 _TERM = r"(?<=[\s(\"'])\p{L}[\p{L}\p{M}'’-]{2,}+(?=[,.;:!?)\"']{0,3}\s)"
 
@@ -101,114 +105,139 @@ def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("base", F.sort_array(F.concat(*found)))
 
 
-def _terms_near(window: Column) -> Column:
-    """Terms of a short text with their places in it."""
-    matches = F.regexp_extract_all(window, F.lit(_TERM), F.lit(0))
-    between = F.split(window, F.lit(_TERM), F.lit(-1))
-    lengths = lambda values: F.aggregate(values, F.lit(0), lambda a, y: a + F.length(y))
+def _padded(text: Column) -> Column:
+    """One space on either side stands for the edge of the text; places shift by one."""
+    return F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
 
-    def place(e: Column) -> Column:
-        return F.transform(
-            e["a"],
-            lambda x, i: F.struct(
-                F.lower(x).alias("term"),
-                (lengths(F.slice(e["a"], F.lit(1), i)) + lengths(F.slice(e["b"], F.lit(1), i + 1))).alias("at"),
-                F.length(x).alias("long"),
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(_padded(text), F.lit(_TERM), F.lit(0)), F.lower))
+
+
+def _term_places(text: Column, wanted: Column) -> Column:
+    """All occurrences of the ``wanted`` terms, a map from term to place: (start, place, end)."""
+    pattern = F.lit(_TERM)
+
+    def pairs(e: Column) -> Column:
+        before = F.slice(e["b"], F.lit(1), F.size(e["a"]))
+        return F.zip_with(e["a"], before, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    def spans(p: Column) -> Column:
+        steps = F.transform(p, lambda s: F.length(s["x"]) + F.length(s["y"]))
+        every = F.zip_with(
+            p, sums_before(steps),
+            lambda s, at: F.struct(
+                (at + F.length(s["y"]) - 1).alias("start"),
+                F.element_at(wanted, F.lower(s["x"])).alias("place"),
+                (at + F.length(s["y"]) + F.length(s["x"]) - 1).alias("end"),
             ),
         )
+        return F.filter(every, lambda s: s["place"].isNotNull())
 
-    return let(F.struct(matches.alias("a"), between.alias("b")), place)
+    padded = _padded(text)
+    found = F.struct(
+        F.regexp_extract_all(padded, pattern, F.lit(0)).alias("a"), F.split(padded, pattern, F.lit(-1)).alias("b")
+    )
+    return let(found, lambda e: let(pairs(e), spans))
+
+
+def _first_of_each(items: Column, fields: tuple[str, ...]) -> Column:
+    """The least struct of each group of ``fields``, which lead the structs."""
+
+    def new(s: Column, x: Column, i: Column) -> Column:
+        before = F.get(s, i - 1)
+        same = [before[f].eqNullSafe(x[f]) for f in fields]
+        return (i == 0) | ~(same[0] if len(same) == 1 else same[0] & same[1])
+
+    return let(F.sort_array(items), lambda s: F.filter(s, lambda x, i: new(s, x, i)))
 
 
 def protected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: id, key, ``base`` spans and the ``marks`` around them.
+    """One row per document: id, key, ``base`` spans, ``units`` and ``terms``.
 
-    A mark is a term inside ``WINDOW`` code points before or after a base span: (kind, entity,
-    term, start, end, context). The context is a hash of both windows.
+    ``units`` are what the document protects, (kind, entity, context): every value once, and
+    every kind once as its class, with a null entity. The context is a hash of the ``WINDOW``
+    code points before and after a value, the least one if there are several. ``terms`` are the
+    distinct terms of the whole text; documents without a value have none.
     """
     rows = docs.select(
         F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     found = base_spans(rows, "text")
-    # One space on either side stands for the edge of the text; places shift by one.
-    padded = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
 
-    def around(s: Column, e: Column) -> Column:
-        start, end = s["start"] + 1, s["end"] + 1
-        left = F.greatest(start - WINDOW, F.lit(0))
-        right = F.least(end + WINDOW, e["long"])
+    def unit(s: Column, e: Column) -> Column:
+        left = F.greatest(s["start"] - WINDOW, F.lit(0))
+        right = F.least(s["end"] + WINDOW, e["long"])
         return F.struct(
             s["kind"].alias("kind"), s["entity"].alias("entity"),
-            (left - 1).alias("left_at"), cut(e["pieces"], left, start - left).alias("left"),
-            (end - 1).alias("right_at"), cut(e["pieces"], end, right - end).alias("right"),
+            F.xxhash64(
+                cut(e["pieces"], left, s["start"] - left), cut(e["pieces"], s["end"], right - s["end"])
+            ).alias("context"),
         )
 
-    whole = F.struct(chunks(padded).alias("pieces"), F.length(padded).alias("long"))
-    windows = let(whole, lambda e: F.transform("base", lambda s: around(s, e)))
-    none = F.array().cast(found.select(windows).schema[0].dataType)
-    found = found.withColumn("windows", F.when(F.size("base") > 0, windows).otherwise(none)).drop("text")
+    whole = F.struct(chunks(F.col("text")).alias("pieces"), F.length("text").alias("long"))
+    values = let(whole, lambda e: F.transform("base", lambda s: unit(s, e)))
 
-    def marks(w: Column) -> Column:
-        context = F.xxhash64(w["left"], w["right"])
-        sides = F.array(
-            F.struct(w["left_at"].alias("at"), _terms_near(w["left"]).alias("terms")),
-            F.struct(w["right_at"].alias("at"), _terms_near(w["right"]).alias("terms")),
-        )
-        return F.flatten(
-            F.transform(
-                sides,
-                lambda side: F.transform(
-                    side["terms"],
-                    lambda t: F.struct(
-                        w["kind"].alias("kind"), w["entity"].alias("entity"), t["term"].alias("term"),
-                        (side["at"] + t["at"]).alias("start"), (side["at"] + t["at"] + t["long"]).alias("end"),
-                        context.alias("context"),
-                    ),
-                ),
-            )
+    def units(v: Column) -> Column:
+        kinds = F.transform(
+            v, lambda x: F.struct(x["kind"].alias("kind"), F.lit(None).cast("string").alias("entity"), x["context"].alias("context"))
         )
+        return F.concat(_first_of_each(v, ("kind", "entity")), _first_of_each(kinds, ("kind",)))
 
-    found = found.withColumn("marks", F.array_distinct(F.flatten(F.transform("windows", marks))))
-    return found.drop("windows")
+    every, terms = let(values, units), _terms(F.col("text"))
+    some = F.size("base") > 0
+    found = found.withColumn("units", F.when(some, every).otherwise(F.array().cast(found.select(every).schema[0].dataType)))
+    return found.withColumn("terms", F.when(some, terms).otherwise(F.array().cast("array<string>"))).drop("text")
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text_col: str, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """``(kind, entity, term, disclosure)`` of all pairs seen in ``min_contexts`` different contexts.
+_UNIT = ["kind", "entity"]
+
+
+def _counted(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Documents and different contexts per ``by``; rows that agree are summed where they are read."""
+    parts = df.groupBy(*by, "context").agg(F.count("*").alias(name))
+    return parts.groupBy(*by).agg(F.sum(name).alias(name), F.count("*").alias("contexts"))
+
+
+def _same_unit(left: str, right: str) -> Column:
+    return (F.col(f"{left}.kind") == F.col(f"{right}.kind")) & F.col(f"{left}.entity").eqNullSafe(F.col(f"{right}.entity"))
+
+
+def units_of(found: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+    """``(kind, entity, with_entity)`` of all values and classes seen in ``min_contexts`` different contexts."""
+    every = found.select(F.inline("units"))
+    return _counted(every, _UNIT, "with_entity").where(F.col("contexts") >= min_contexts).drop("contexts")
+
+
+def disclosures(found: DataFrame, docs: DataFrame, text_col: str, units: DataFrame,
+                min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+    """``(kind, entity, term, disclosure)`` of all pairs of a unit and a term of its documents
+    that were seen in ``min_contexts`` different contexts.
 
     p(c) and p(c|t) are shares of documents: those that hold c, and of those that hold t, those
-    that hold t near c. Counts cover all documents. Copies of a context count as documents, but
-    not as contexts, so that a text that was copied often proves no more than one.
+    that hold both, wherever. All counts are of rows and cover whole texts. Copies of a context
+    count as documents, but not as contexts, so that a text that was copied often proves no more
+    than one. A class (null entity) is common, so terms share its documents by chance as well:
+    its p(c|t) counts ``PRIOR`` more documents at the class's own share.
     """
     n = max(1, found.count())
-    pairs = found.select("key", F.explode("marks").alias("m")).select("key", "m.kind", "m.entity", "m.term", "m.context")
-    near = (
-        pairs.groupBy("kind", "entity", "term", "key")
-        .agg(F.min("context").alias("context"))
-        .groupBy("kind", "entity", "term", "context")
-        .agg(F.count("*").alias("joint"))
-        .groupBy("kind", "entity", "term")
-        .agg(F.sum("joint").alias("joint"), F.count("*").alias("contexts"))
-        .where(F.col("contexts") >= min_contexts)
-    )
-    near = hand_over(near, "near")
-    entities = hand_over(
-        found.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["entity"].alias("entity"))))).alias("c"))
-        .groupBy("c.kind", "c.entity")
-        .agg(F.count("*").alias("with_entity")),
-        "entities",
-    )
-    padded = F.concat(F.lit(" "), F.coalesce(F.col(text_col), F.lit("")), F.lit(" "))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(padded, F.lit(_TERM), F.lit(0)), F.lower))
-    terms = hand_over(
-        docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")), "terms"
-    )
-    rated = near.join(entities, ["kind", "entity"]).join(terms, "term")
-    known = -F.log2(F.least(F.col("with_entity"), F.lit(n)) / F.lit(n))
-    left = -F.log2(F.least(F.col("joint"), F.col("with_term")) / F.col("with_term"))
-    return rated.withColumn("disclosure", F.when(known > 0, 1 - left / known)).select(
-        "kind", "entity", "term", "disclosure"
-    )
+    held = found.where(F.size("units") > 0).select("terms", F.explode("units").alias("u")).select("terms", "u.*")
+    held = held.alias("h").join(broadcast_within(units).alias("u"), _same_unit("h", "u"), "left_semi")
+    pairs = held.select("kind", "entity", "context", F.explode("terms").alias("term"))
+    near = _counted(pairs, [*_UNIT, "term"], "joint").where(F.col("contexts") >= min_contexts)
+    near = hand_over(near.drop("contexts"), "near")
+    words = docs.select(F.explode(_terms(F.col(text_col))).alias("term"))
+    words = words.join(broadcast_within(near.select("term").distinct()), "term", "left_semi")
+    terms = hand_over(words.groupBy("term").agg(F.count("*").alias("with_term")), "terms")
+    rated = near.alias("p").join(broadcast_within(units).alias("u"), _same_unit("p", "u")).select(
+        "p.*", "u.with_entity").join(terms, "term")
+    share = F.col("with_entity") / F.lit(n)
+    prior = F.when(F.col("entity").isNull(), PRIOR).otherwise(0)
+    known = -F.log2(share)
+    left = -F.log2((F.col("joint") + prior * share) / (F.col("with_term") + prior))
+    return rated.withColumn("disclosure", F.when(known > 0, 1 - left / known)).select(*_UNIT, "term", "disclosure")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -216,35 +245,50 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """``(id, key, base, added)``, one row per document.
 
-    ``base`` has the patterns' spans (start, place, end, kind, entity), ``added`` the disclosing
-    terms near them as (start, place, end, kind) with kind ``removed`` or ``generalised``; both
-    are sorted and count code points, ends exclusive.
+    ``base`` has the patterns' spans (start, place, end, kind, entity), ``added`` all occurrences
+    of the terms that disclose a value of the document, as (start, place, end, kind) with kind
+    ``removed`` or ``generalised``; both are sorted and count code points, ends exclusive. A
+    value in fewer than ``min_contexts`` different contexts is protected as its class.
 
     Null and empty texts have no spans. Null ids are carried through; repeated rows are returned
-    as often as they occur and count as one document in the statistics of pairs. An entity that
+    as often as they occur and every one counts in all statistics. An entity that
     every document holds has nothing to disclose. Other columns are not read. An empty table
     gives an empty one.
     """
     found = hand_over(protected(docs, id_col, text_col), "protected")
-    rated = disclosures(found, docs, text_col, min_contexts)
+    units = hand_over(units_of(found, min_contexts), "units")
+    rated = disclosures(found, docs, text_col, units, min_contexts)
     telling = hand_over(
-        rated.where(F.col("disclosure") >= generalise_at).withColumn(
-            "place", F.lit(len(KINDS)) + (F.col("disclosure") < remove_at).cast("int")
+        rated.where(F.col("disclosure") >= generalise_at).select(
+            *_UNIT, "term", (F.lit(len(KINDS)) + (F.col("disclosure") < remove_at).cast("int")).alias("place")
         ),
         "telling",
     )
-    marks = found.select("key", F.explode("marks").alias("m")).select("key", "m.kind", "m.entity", "m.term", "m.start", "m.end")
-    hits = marks.join(telling, ["kind", "entity", "term"])
-    spots = hits.groupBy("key", "start", "end").agg(F.min("place").alias("place"))
-    added = spots.groupBy("key").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "start", "place", "end",
-                    F.when(F.col("place") == len(KINDS), ADDED[0]).otherwise(ADDED[1]).alias("kind"),
-                )
-            )
-        ).alias("added")
+    # What a document protects: its values, or the class where a value could not be rated.
+    held = found.where(F.size("units") > 0).select("key", "terms", F.explode("units").alias("u"))
+    held = held.select("key", "terms", "u.kind", "u.entity").where("entity IS NOT NULL")
+    own = broadcast_within(units.where("entity IS NOT NULL").select(*_UNIT, F.lit(True).alias("own")))
+    held = held.join(own, _UNIT, "left").select(
+        "key", "terms", "kind", F.when(F.col("own"), F.col("entity")).alias("entity")
+    ).distinct()
+    wanted = (
+        held.select("key", *_UNIT, F.explode("terms").alias("term")).alias("h")
+        .join(broadcast_within(telling).alias("t"), _same_unit("h", "t") & (F.col("h.term") == F.col("t.term")))
+        .groupBy("h.key", "h.term").agg(F.min("t.place").alias("place"))
+        .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "place"))).alias("wanted"))
+    )
+    wanted = hand_over(wanted, "wanted")
+    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = texts.join(broadcast_within(wanted), "key").dropDuplicates(["key"])
+    added = texts.select(
+        "key",
+        F.transform(
+            _term_places(F.col("text"), F.col("wanted")),
+            lambda s: F.struct(
+                s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"),
+                F.when(s["place"] == len(KINDS), ADDED[0]).otherwise(ADDED[1]).alias("kind"),
+            ),
+        ).alias("added"),
     )
     added = hand_over(added, "added")
     return found.select("id", "key", "base").join(added, "key", "left").select(

@@ -97,3 +97,28 @@ def test_empty_table_and_repeated_rows(spark):
     rows = [(1, "x@y.zz", "", 0), (1, "x@y.zz", "", 0), (1, None, "", 0), (None, "1.1.1.1", "", 0)]
     got = pii.find(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((str(r.id), len(r.base)) for r in got) == [("1", 0), ("1", 1), ("1", 1), ("None", 1)]
+
+
+def test_rare_values_are_rated_as_their_class_over_whole_texts(spark):
+    gap = "plain words of no use " * 8
+    rows = [(i, f"Quibbly {'abcdefgh'[i] * 4} {gap} {'abcdefgh'[i] * 5} user{i}@corp.example {gap} said quibbly.", "", 0) for i in range(8)]
+    rows += [(100 + i, f"{gap} {i}", "", 0) for i in range(400)] + [(900, "Quibbly stays here.", "", 0)]
+    got = {r.id: r for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, text, *_ in rows[:8]:
+        marked = [text[s.start:s.end] for s in got[i].added]
+        # Every value occurs once; the term stands more than 64 code points away, twice.
+        assert [m for m in marked if m.lower() == "quibbly"] == ["Quibbly", "quibbly"]
+        assert not {"plain", "words", "use"} & set(marked)
+    assert not any(got[r[0]].added for r in rows[8:])
+
+
+def test_repeated_rows_count_alike_in_all_shares(spark):
+    rows = [(i, f"Zorblax {'abcdef'[i]}xx me@corp.example", "", 0) for i in range(6)] * 3
+    rows += [(100 + i, f"Zorblax alone {i}", "", 0) for i in range(6)] + [(200 + i, "filler", "", 0) for i in range(976)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = pii.protected(docs, "doc_id", "text").cache()
+    rated = pii.disclosures(found, docs, "text", pii.units_of(found))
+    got = {(r.entity, r.term): r.disclosure for r in rated.collect()}
+    from math import log2
+
+    assert got["me@corp.example", "zorblax"] == pytest.approx(1 - log2(18 / 24) / log2(18 / 1000))
