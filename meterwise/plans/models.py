@@ -815,15 +815,18 @@ def model_years(
     seed: int = C.SEED,
     boosted: dict | None = None,
     forest: dict | None = None,
+    parallelism: int = 4,
     **dataset,
 ) -> DataFrame:
-    """One suite per year and the stacked year summaries."""
-    rows = []
-    for year in sorted(years):
+    """One suite per year and the stacked year summaries; ``parallelism`` years run at a time."""
+
+    def one(year: int) -> DataFrame:
         package = build_dataset(clean, keys, year, seed=seed, **dataset)
         suite = run_suite(package, None, seed, boosted, forest)
         summary = year_summary(year, package, suite)
         if folder:
             export_year(package, suite, summary, f"{folder}/year_{year}")
-        rows.append(summary)
-    return results.stack_years(rows)
+        return summary
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        return results.stack_years(list(pool.map(one, sorted(years))))

@@ -143,3 +143,13 @@ def test_yearly_run_writes_its_tables(clean, spark, tmp_path):
     assert len(summary) == 1 and len(summary[0]) == 27 and summary[0]["sample_rows"] == 600
     table = spark.read.option("header", True).csv(f"{tmp_path}/year_2019/regression_model_comparison")
     assert table.count() == 3
+
+
+def test_registered_yearly_run_takes_every_year(spark, monkeypatch):
+    from meterwise.catalog import modelling
+
+    taken = []
+    monkeypatch.setattr(modelling.plan, "model_years", lambda rows, years, *_, **__: taken.extend(years) or rows)
+    rows = modelling.model_years(spark, "/root/testdata/sf0.001")
+    every = {r["year"] for r in rows.select("year").distinct().collect()}
+    assert len(every) > 2 and taken == sorted(every)
