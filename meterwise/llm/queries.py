@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterwise.llm import (
-    chat, decontamination, embeddings, langid, mixing, pii, sharding, simhash, sqltext, toxicity,
-    warc,
+    chat, decontamination, embeddings, langid, mixing, neighbours, pii, sharding, simhash, spelling, sqltext,
+    toxicity, warc, whitening,
 )
 from meterwise.llm.storage import hand_over
 from meterwise.session import checkpoint_dir
@@ -135,6 +135,21 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_langid": op2_langid,
@@ -146,6 +161,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_embeddings": op10_embeddings,
+    "op11_neighbours": op11_neighbours,
+    "op12_spelling": op12_spelling,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL = {
     "op3_mixing": sqltext.MIXING,
