@@ -19,8 +19,10 @@ RATIO = 5
 #: One run in so many loses a code point.
 NOISE = 199
 #: Words of a tile times its letters: longer words share a tile with fewer others.
-TILE = 4096
+TILE = 1024
 TILE_LENGTH = 64
+#: Parts of the alphabet whose letter numbers make a block.
+PARTS = 4
 _STRIP = 512
 _LETTERS = 26
 _LATIN = 0xC0
@@ -100,27 +102,35 @@ def near_pairs(a: np.ndarray, b: np.ndarray, counts_a: np.ndarray, counts_b: np.
 
 
 def _tally(group: pd.DataFrame) -> pd.DataFrame:
-    """Near words of every word of a pair of tiles: their number and the most frequent one."""
-    group = group.sort_values(["second", "node"], ignore_index=True)
+    """Near words of the words of a tile and of those that it meets: number and best one."""
+    group = group.sort_values(["other", "length", "node"], ignore_index=True)
     words, n = group["word"].to_numpy(object), group["n"].to_numpy(np.int64)
-    first = int((~group["second"]).sum())
-    same = group["same"].iat[0]
-    if (not same and first in (0, len(group))) or len(group) < 2:
-        return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("node", "n_near", "best_n", "best")})
-    a = code_points(list(words[:first]))
-    b = a if same else code_points(list(words[first:]))
-    counts_a = letter_counts(a)
-    counts_b = counts_a if same else letter_counts(b)
+    own = int((~group["other"]).sum())
     order = np.lexsort((np.argsort(np.argsort(words)), -n))  # by falling n, then by code points
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
     total, best = np.zeros(len(words), np.int64), np.full(len(words), len(words), np.int64)
-    for at in range(0, len(a), _STRIP):
-        i, j = near_pairs(a, b, counts_a, counts_b, slice(at, min(at + _STRIP, len(a))))
-        j = j if same else j + first
-        for one, other in ((i, j),) if same else ((i, j), (j, i)):
-            total += np.bincount(one, minlength=len(words))
-            np.minimum.at(best, one, rank[other])
+
+    def note(one: np.ndarray, other: np.ndarray) -> None:
+        np.add.at(total, one, 1)
+        np.minimum.at(best, one, rank[other])
+
+    if own:
+        a = code_points(list(words[:own]))
+        counts = letter_counts(a)
+        strips = [slice(at, min(at + _STRIP, own)) for at in range(0, own, _STRIP)]
+        if group["tile"].iat[0] == group["batch"].iat[0]:
+            for rows in strips:
+                note(*near_pairs(a, a, counts, counts, rows))
+        lengths = group["length"].to_numpy()[own:]
+        for length in np.unique(lengths):
+            at = own + np.searchsorted(lengths, length)
+            b = code_points(list(words[at : own + np.searchsorted(lengths, length, "right")]))
+            counts_b = letter_counts(b)
+            for rows in strips:
+                i, j = near_pairs(a, b, counts, counts_b, rows)
+                note(i, j + at)
+                note(j + at, i)
     hit = np.flatnonzero(total)
     top = order[best[hit]]
     return pd.DataFrame(
@@ -131,50 +141,59 @@ def _tally(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _part_counts(word: Column) -> Column:
+    """How many letters of a word fall into each part of the alphabet."""
+    letters = string.ascii_lowercase + "".join(map(chr, range(_LATIN, 0x100)))
+    left_out = ["".join(c for k, c in enumerate(letters) if k % PARTS != p) for p in range(PARTS)]
+    return F.array(*[F.length(F.translate(word, out, "")) for out in left_out])
+
+
+def _steps() -> list[list[int]]:
+    """How one edit can move part counts, each way once: one more letter, or one for another."""
+    unit = np.eye(PARTS, dtype=int)
+    more = [unit[i] for i in range(PARTS)]
+    moved = [unit[i] - unit[j] for i in range(PARTS) for j in range(i)]
+    return [step.tolist() for step in more + moved]
+
+
 def _dealt(words: DataFrame, tile: int) -> DataFrame:
-    """Every word once for each pair of tiles that it belongs to."""
-    share = F.ceil(F.count("*") * F.greatest(F.lit(1.0), F.col("length") / TILE_LENGTH) / tile)
-    tiles = hand_over(words.groupBy("length").agg(share.cast("int").alias("tiles")), "tiles")
-    own = words.join(tiles, "length").withColumn("own", F.pmod(F.xxhash64("word"), "tiles").cast("int"))
-    near = tiles.select((F.col("length") - 1).alias("length"), F.col("tiles").alias("above"))
-    far = tiles.select((F.col("length") + 1).alias("length"), F.col("tiles").alias("below"))
-    own = own.join(near, "length", "left").join(far, "length", "left")
-
-    def pairs(other: Column, low: Column, high: Column, base: Column, same: bool, second: bool) -> Column:
-        count = F.coalesce(other, F.lit(0))
-        return F.transform(
-            F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")),
-            lambda t: F.struct(
-                base.alias("base"), F.lit(same).alias("same"), low(t).alias("low"), high(t).alias("high"),
-                F.lit(second).alias("second"),
-            ),
-        )
+    """Every word once for each group (home, tile, batch) that it belongs to.
 
-    mine, length = F.col("own"), F.col("length")
-    every = F.concat(
-        pairs(F.col("tiles"), lambda t: F.least(mine, t), lambda t: F.greatest(mine, t), length, True, False),
-        pairs(F.col("above"), lambda t: mine, lambda t: t, length, False, False),
-        pairs(F.col("below"), lambda t: t, lambda t: mine, length - 1, False, True),
-    )
-    out = own.select("node", "word", "n", "own", F.explode(every).alias("p")).select("node", "word", "n", "own", "p.*")
-    # Two tiles of one length are two sides as well; a tile with itself is one.
-    apart = F.col("same") & (F.col("low") != F.col("high"))
-    return out.withColumn("second", F.when(apart, mine == F.col("high")).otherwise(F.col("second"))).withColumn(
-        "alike", F.col("same") & (F.col("low") == F.col("high"))
-    )
+    The group has the words of one tile of the home block, and of every block that it meets
+    (itself included) the words of one tile number.
+    """
+    keyed = words.withColumn("length", F.length("word")).withColumn("key", _part_counts(F.col("word")))
+    share = F.ceil(F.count("*") * F.greatest(F.lit(1.0), F.first("length") / TILE_LENGTH) / tile)
+    blocks = hand_over(keyed.groupBy("key").agg(share.cast("int").alias("tiles")), "blocks")
+    moved = F.array(*[F.array(*[F.col("home")[k] + d for k, d in enumerate(step)]) for step in _steps()])
+    meets = blocks.select(F.col("key").alias("home"), F.col("tiles").alias("home_tiles"))
+    meets = meets.withColumn("key", F.explode(moved)).join(blocks, "key")
+    batches = meets.groupBy(F.col("home").alias("key")).agg(F.max("tiles").alias("batches"))
+    placed = keyed.join(blocks.join(batches, "key", "left"), "key")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("word"), "tiles").cast("int"))
+    count = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1))
+    out = ("home", "tile", "batch", "other", "node", "word", "length", "n")
+    own = placed.select("*", F.col("key").alias("home"), F.col("own").alias("tile"), F.lit(False).alias("other"),
+                        F.explode(count(F.greatest("tiles", "batches"))).alias("batch")).select(*out)
+    same = placed.select("*", F.col("key").alias("home"), F.col("own").alias("batch"), F.lit(True).alias("other"),
+                         F.explode(count(F.col("own"))).alias("tile")).select(*out)
+    homes = placed.drop("tiles", "batches").join(meets.drop("tiles"), "key")
+    met = homes.select("*", F.col("own").alias("batch"), F.lit(True).alias("other"),
+                       F.explode(count(F.col("home_tiles"))).alias("tile")).select(*out)
+    return own.union(same).union(met)
 
 
 def near_words(words: DataFrame, tile: int = TILE) -> DataFrame:
     """``(node, word, n)`` -> ``(node, n_near, best_n, best)`` for words that have near words.
 
     ``best`` is the most frequent near word, the first in code-point order among equals. Words
-    are dealt to tiles of one length by hash; tiles meet those of the same and of the adjacent
-    length, so a task holds two tiles however many words share a length. A pair of tiles
-    returns at most one row a word, never its pairs.
+    with the same number of letters in each of ``PARTS`` parts of the alphabet form a block. One
+    edit changes one of these numbers by one, or two of them in opposite directions, so a block
+    meets itself and the few blocks that far away, of its own and the adjacent length. Blocks
+    are cut into tiles by hash, and a task holds one tile of its block and one of each that it
+    meets, however many words share a block. A task returns at most one row a word.
     """
-    dealt = _dealt(words.withColumn("length", F.length("word")), tile)
-    dealt = dealt.withColumn("kind", F.col("same").cast("int")).drop("same").withColumnRenamed("alike", "same")
-    found = dealt.groupBy("base", "kind", "low", "high").applyInPandas(
+    found = _dealt(words, tile).groupBy("home", "tile", "batch").applyInPandas(
         _tally, "node bigint, n_near bigint, best_n bigint, best string"
     )
     top = F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("word")))

@@ -66,7 +66,7 @@ def rows():
     return rows
 
 
-@pytest.mark.parametrize("tile", [48, 4096])
+@pytest.mark.parametrize("tile", [8, 1024])
 def test_matches_all_pairs(spark, rows, tile):
     df = spark.createDataFrame([(*r, "clash", 1, "n") for r in rows], SCHEMA)
     got = sorted(tuple(r) for r in sp.variants(df, tile=tile).collect())
