@@ -8,8 +8,9 @@ from meterwise.catalog import sqltext as S
 from meterwise.catalog.common import _declared_once, clean
 from meterwise.catalog.features import SAMPLE, segment_rows
 from meterwise.catalog.profiling import union
+from meterwise.catalog.sampling import hashed
 from meterwise.catalog.zones import rounded
-from meterwise.operators import metrics, outliers
+from meterwise.operators import metrics, outliers, sampling
 from meterwise.operators import segments as ops
 from meterwise.plans import segmentation as plan
 
@@ -663,28 +664,28 @@ def assignment_export(spark, sf):
 
 
 # --- fitted: rows only ---------------------------------------------------------
-def _fitted(spark, sf, k=4, restarts=2):
+def _fitted(spark, sf, k=4):
     matrix = plan.behaviour_matrix(segment_rows(spark, sf))
-    assembled = plan.assemble(matrix.frame, matrix.scaled).persist()
-    model = plan.fit_kmeans(assembled, k, C.SEED, restarts, 50)
-    assembled.unpersist()
-    return matrix, assembled, model
+    held = matrix.frame.persist()
+    model = plan.fit_kmeans(held, matrix.scaled, k, C.SEED)
+    held.unpersist()
+    return matrix, model
 
 
 @query("k02_kmeans_labels")
 def kmeans_labels(spark, sf):
-    _, assembled, model = _fitted(spark, sf)
-    return ops.cluster_sizes(model.transform(assembled))
+    """Sizes of the clusters of the best of thirty starts."""
+    matrix, model = _fitted(spark, sf)
+    return ops.cluster_sizes(matrix.frame.withColumn("cluster", model.label(matrix.scaled)))
 
 
 @query("k03_k_grid")
 def k_grid(spark, sf):
     matrix = plan.behaviour_matrix(segment_rows(spark, sf))
-    return plan.evaluate_grid(matrix, [KEY], 2, 5, restarts=1, max_iter=30)
+    return plan.evaluate_grid(matrix, [KEY])
 
 
-_NORM = " + ".join(f"z_{c} * z_{c}" for c in BEHAVIOR)
-_DOT = " + ".join(f"z_{c} * mu_{c}" for c in BEHAVIOR)
+_FAR = "sqrt(" + " + ".join(f"(a.z_{c} - b.z_{c}) ** 2" for c in BEHAVIOR) + ")"
 
 
 @query(
@@ -694,25 +695,24 @@ _DOT = " + ".join(f"z_{c} * mu_{c}" for c in BEHAVIOR)
   WHEN greatest(own, nearest) > 0 THEN (nearest - own) / greatest(own, nearest) ELSE 0 END), 6) AS silhouette
 FROM near""",
         BEHAVIOUR + """,
-z AS (SELECT trip_key, cluster, """ + ", ".join(f"(h.{c} - m_{c}) / s_{c} AS z_{c}" for c in BEHAVIOR) + """
-  FROM held h JOIN labelled l USING (trip_key), moments),
-centre AS (SELECT cluster AS part, count(*) AS n, avg(""" + _NORM + ") AS q, "
-        + ", ".join(f"avg(z_{c}) AS mu_{c}" for c in BEHAVIOR) + """ FROM z GROUP BY cluster),
-far AS (SELECT trip_key, cluster = part AS inside, n, greatest(""" + _NORM + " - 2 * (" + _DOT + """) + q, 0) AS d
-  FROM z, centre),
-near AS (SELECT trip_key, max(n) FILTER (inside) AS n, max(d * n / greatest(n - 1, 1)) FILTER (inside) AS own,
-  min(d) FILTER (NOT inside) AS nearest FROM far GROUP BY trip_key)""",
+z AS MATERIALIZED (SELECT trip_key, cluster, """ + ", ".join(f"(h.{c} - m_{c}) / s_{c} AS z_{c}" for c in BEHAVIOR) + f"""
+  FROM held h JOIN labelled l USING (trip_key), moments ORDER BY {hashed(59)} LIMIT {metrics.SILHOUETTE_ROWS}),
+size AS (SELECT cluster AS part, count(*) AS n FROM z GROUP BY cluster),
+far AS (SELECT a.trip_key, a.cluster, b.cluster AS part, sum({_FAR}) AS d FROM z a, z b GROUP BY 1, 2, 3),
+near AS (SELECT trip_key, max(n) FILTER (cluster = part) AS n, max(d / greatest(n - 1, 1)) FILTER (cluster = part) AS own,
+  min(d / n) FILTER (cluster <> part) AS nearest FROM far JOIN size USING (part) GROUP BY trip_key)""",
     ),
 )
 def silhouette(spark, sf):
-    """Distance bands scored on the standardised behaviour columns of all rows."""
+    """Distance bands scored on the standardised behaviour columns of the metric sample."""
     matrix = plan.behaviour_matrix(segment_rows(spark, sf))
-    return rounded(metrics.silhouettes(band(matrix.frame), matrix.scaled, ["cluster"]), "silhouette")
+    drawn = sampling.cap_rows(band(matrix.frame), metrics.SILHOUETTE_ROWS, [KEY], C.SEED + 17)
+    return rounded(metrics.euclidean_silhouettes(drawn, matrix.scaled, ["cluster"]), "silhouette")
 
 
 @query("k07_centroids")
 def centroids(spark, sf):
-    matrix, _, model = _fitted(spark, sf)
+    matrix, model = _fitted(spark, sf)
     scaled, raw = plan.centroid_tables(model, matrix)
     return scaled.withColumn("units", F.lit("scaled")).union(raw.withColumn("units", F.lit("raw")))
 

@@ -1,8 +1,11 @@
 """Model and cluster quality measures."""
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -190,3 +193,78 @@ def silhouettes(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -
     else:
         row = {}
     return spark.createDataFrame([(n, row.get(n)) for n in labels], "labelling string, silhouette double")
+
+
+#: Rows of the sample on which the Euclidean silhouette is taken.
+SILHOUETTE_ROWS = 100_000
+_BLOCK_ROWS = 1024
+
+
+def euclidean_silhouettes(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """(labelling, silhouette): mean Euclidean silhouette of one or many label columns.
+
+    Sums of distances have no closed form, so all pairs of rows count: pass a sample where the
+    square of the rows is too much. Rows are dealt to blocks; every pair of blocks is one task of
+    bounded size that returns, per row, the sums of its distances to the clusters of all
+    labellings, and Spark adds these up. A row alone in its cluster scores 0. Null below three
+    rows or with a single cluster. Rows need their labels; labels are whole numbers.
+    """
+    spark = df.sparkSession
+    out = "labelling string, silhouette double"
+    sizes = {name: {} for name in labels}
+    parts = df.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("labelling"), F.col(n).cast("long").alias("part")) for n in labels
+    ])))
+    for r in parts.groupBy("labelling", "part").count().collect():
+        sizes[r["labelling"]][r["part"]] = r["count"]
+    total = max((sum(s.values()) for s in sizes.values()), default=0)
+    used = [n for n in labels if len(sizes[n]) > 1 and total >= 3]
+    if not used:
+        return spark.createDataFrame([(n, None) for n in labels], out)
+    # One cell per cluster of every labelling, side by side.
+    order = {n: sorted(sizes[n]) for n in used}
+    first = dict(zip(used, np.cumsum([0] + [len(order[n]) for n in used[:-1]]).tolist(), strict=True))
+    cells = sum(len(order[n]) for n in used)
+    blocks = math.ceil(total / _BLOCK_ROWS)
+    number = lambda n: F.array_position(F.array(*[F.lit(p) for p in order[n]]), F.col(n).cast("long")) - 1
+    rows = settle(df.select(
+        F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
+        F.array(*[(number(n) + first[n]).cast("int") for n in used]).alias("cell"),
+    ).withColumn("row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    one = rows.select("row", "x", "cell", F.col("block").alias("mine"), every.alias("met"), F.lit(True).alias("asks"))
+    other = rows.select("row", "x", "cell", every.alias("mine"), F.col("block").alias("met"), F.lit(False).alias("asks"))
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["asks"].to_numpy()
+        x = np.stack(group["x"].to_numpy())
+        a, b = x[asks], x[~asks]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"row": pd.Series([], dtype=object), "sums": pd.Series([], dtype=object)})
+        member = np.zeros((len(b), cells))
+        for column in np.stack(group["cell"].to_numpy()[~asks]).T:
+            member[np.arange(len(b)), column] = 1
+        # Differences per feature keep the distance of a row to its copies at exactly 0.
+        far = np.zeros((len(a), len(b)))
+        for f in range(x.shape[1]):
+            far += np.square(a[:, f, None] - b[None, :, f])
+        return pd.DataFrame({"row": group["row"].to_numpy()[asks], "sums": list(np.sqrt(far) @ member)})
+
+    sums = one.union(other).groupBy("mine", "met").applyInPandas(work, "row bigint, sums array<double>")
+    added = sums.groupBy("row").agg(*[F.sum(F.col("sums")[c]).alias(f"c{c}") for c in range(cells)])
+    scored = added.join(rows.select("row", "cell"), "row")
+    scores = []
+    for at, name in enumerate(used):
+        mine = F.col("cell")[at]
+        own, near = F.lit(None).cast("double"), []
+        for k, part in enumerate(order[name]):
+            n, c = sizes[name][part], F.col(f"c{first[name] + k}")
+            inside = mine == first[name] + k
+            own = F.when(inside, c / (n - 1) if n > 1 else F.lit(-1.0)).otherwise(own)
+            near.append(F.when(~inside, c / n))
+        nearest = F.least(*near)
+        top = F.greatest(own, nearest)
+        scores.append(F.avg(F.when((own < 0) | (top <= 0), 0.0).otherwise((nearest - own) / top)).alias(name))
+    row = scored.agg(*scores).first().asDict()
+    return spark.createDataFrame([(n, row.get(n)) for n in labels], out)

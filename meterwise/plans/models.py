@@ -11,13 +11,14 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterwise import constants as C
 from meterwise.functions.numeric import clipped_log1p
 from meterwise.operators import features, metrics, outliers, profiling, sampling
+from meterwise.plans import boosting
 from meterwise.session import settle
 from meterwise.sources import results, trips
 
@@ -393,17 +394,15 @@ BOOSTING_PATIENCE = 75
 TUNING_PATIENCE = 50
 
 
-def boosted_estimator(params: dict, seed: int) -> GBTRegressor:
-    trees = GBTRegressor(
-        featuresCol="features", labelCol="label", seed=seed,
-        stepSize=params["learning_rate"], maxIter=params["n_estimators"],
+def boosted_tree(params: dict, seed: int) -> RandomForestRegressor:
+    """The tree of one boosting round: all rows or a part of them, drawn without replacement."""
+    tree = RandomForestRegressor(
+        featuresCol="features", labelCol="label", seed=seed, numTrees=1, bootstrap=False,
         maxDepth=min(30, depth_for(params["num_leaves"], params.get("max_depth"))),
         minInstancesPerNode=params["min_child_samples"], subsamplingRate=params["subsample"],
         featureSubsetStrategy=str(float(params["colsample"])),
     )
-    if params["colsample"] >= 1:
-        trees.setFeatureSubsetStrategy("all")
-    return trees
+    return tree.setFeatureSubsetStrategy("all") if params["colsample"] >= 1 else tree
 
 
 def best_round(losses: Sequence[float], patience: int) -> int:
@@ -417,18 +416,13 @@ def best_round(losses: Sequence[float], patience: int) -> int:
     return best + 1
 
 
-def fit_boosted_to_best(params: dict, seed: int, marked: DataFrame, patience: int) -> GBTRegressionModel:
+def fit_boosted_to_best(params: dict, seed: int, marked: DataFrame, patience: int) -> boosting.Staged:
     """Boosting that stops on the rows marked ``is_valid``, which it does not learn from.
 
-    All rounds are fitted on the other rows, the losses of the marked ones pick the round, and
-    the trees up to that round are fitted again.
+    At most ``patience`` rounds beyond the best one are fitted, and none twice.
     """
-    learn, held = marked.where("NOT is_valid"), marked.where("is_valid")
-    model = boosted_estimator(params, seed).fit(learn)
-    rounds = best_round(model.evaluateEachIteration(held, "squared"), patience)
-    if rounds == params["n_estimators"]:
-        return model
-    return boosted_estimator({**params, "n_estimators": rounds}, seed).fit(learn)
+    state = boosting.start(marked, params["learning_rate"])
+    return boosting.advance(state, boosted_tree(params, seed), params["n_estimators"], patience, seed)
 
 
 def forest_estimator(params: dict, seed: int) -> RandomForestClassifier:
@@ -488,31 +482,59 @@ class Tuning:
     table: DataFrame
 
 
-def _search(
+#: A rung trains its trials to so many rounds or trees times the rung before, and passes on one
+#: trial in as many.
+HALVING = 3
+FIRST_ROUNDS = 25
+FIRST_TREES = 10
+
+
+def _halve(
     spark,
     draw: Callable[[random.Random], dict],
-    score: Callable[[dict], float],
+    begin: Callable[[dict], object],
+    train: Callable[[dict, object, int], float],
+    first: int,
     trials: int,
     seed: int,
     lowest: bool,
     fixed: dict | None,
     parallelism: int,
 ) -> Tuning:
-    """Seeded random search; trials are independent Spark jobs submitted a few at a time."""
+    """Seeded random search with successive halving.
+
+    All trials are trained to a small size; the better third goes on to three times that size,
+    from the trees it has, until one is left, which is trained to its end. A trial's value is its
+    best so far, so the last one's is the best of all. Trials of a rung are independent Spark
+    jobs submitted a few at a time.
+    """
     if trials <= 0:
         raise ValueError(f"trials must be positive (got {trials})")
     rng = random.Random(seed)
     drawn = [{**draw(rng), **(fixed or {})} for _ in range(trials)]
     started = time.perf_counter()
+    states = [begin(params) for params in drawn]
+    sizes, values = [0] * trials, [0.0] * trials
+    left, size = list(range(trials)), first
+    better = (lambda i: (values[i], i)) if lowest else (lambda i: (-values[i], i))
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        values = list(pool.map(score, drawn))
+        while True:
+            goal = {i: drawn[i]["n_estimators"] if len(left) == 1 else min(size, drawn[i]["n_estimators"]) for i in left}
+            for i, value in zip(left, pool.map(lambda i: train(drawn[i], states[i], goal[i]), left)):
+                values[i], sizes[i] = value, goal[i]
+            if len(left) == 1:
+                break
+            kept = sorted(left, key=better)[: math.ceil(len(left) / HALVING)]
+            for i in set(left) - set(kept):
+                states[i].close()
+            left, size = kept, size * HALVING
+    states[left[0]].close()
     seconds = time.perf_counter() - started
-    best = (min if lowest else max)(range(trials), key=values.__getitem__)
     table = spark.createDataFrame(
-        [(i, str(p), float(v)) for i, (p, v) in enumerate(zip(drawn, values, strict=True))],
-        "trial int, params string, value double",
+        [(i, str(p), n, float(v)) for i, (p, n, v) in enumerate(zip(drawn, sizes, values, strict=True))],
+        "trial int, params string, trained_to int, value double",
     )
-    return Tuning(drawn[best], float(values[best]), trials, seconds, table)
+    return Tuning(drawn[left[0]], float(values[left[0]]), trials, seconds, table)
 
 
 def tune_boosted(
@@ -522,22 +544,36 @@ def tune_boosted(
     seed: int = C.SEED,
     inner_fraction: float = 0.2,
     fixed: dict | None = None,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> Tuning:
     """Lowest inner RMSE; the inner hold-out also picks the round. ``train`` is assembled."""
     inner = sampling.split_rows(train, keys, inner_fraction, seed + 1)
     inner = inner.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def score(params):
-        model = fit_boosted_to_best(params, seed, inner, TUNING_PATIENCE)
-        rows = _regression_rows(model, inner.where("is_valid"), keys)
-        return metrics.regression_metrics(rows).first()["rmse"]
+    def grow(params, state, rounds):
+        boosting.advance(state, boosted_tree(params, seed), rounds, TUNING_PATIENCE, seed)
+        return math.sqrt(min(state.losses))
 
-    out = _search(train.sparkSession, boosted_trial, score, trials, seed, True, fixed, parallelism)
+    out = _halve(
+        train.sparkSession, boosted_trial, lambda p: boosting.start(inner, p["learning_rate"]), grow,
+        FIRST_ROUNDS, trials, seed, True, fixed, parallelism,
+    )
     inner.unpersist()
     return out
 
 
+@dataclass
+class _Votes:
+    """Hold-out rows with the summed probability of the trees fitted so far."""
+
+    rows: DataFrame
+    trees: int = 0
+    value: float | None = None
+
+    def close(self) -> None:
+        self.rows.unpersist()
+
+
 def tune_forest(
     train: DataFrame,
     keys: Sequence[str],
@@ -546,22 +582,37 @@ def tune_forest(
     inner_fraction: float = 0.2,
     max_rows: int | None = 150_000,
     fixed: dict | None = None,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> Tuning:
-    """Highest inner AUC on a stratified hold-out of a stratified row cap."""
+    """Highest inner AUC on a stratified hold-out of a stratified row cap.
+
+    A trial that goes on fits only the trees that it lacks and adds their votes. As a trial's
+    value counts its best AUC so far.
+    """
     capped = sampling.cap_stratified(train, max_rows, keys, "label", seed)
     inner = sampling.split_rows(capped, keys, inner_fraction, seed + 1, ["label"])
     inner = inner.persist(StorageLevel.MEMORY_AND_DISK)
-    fitting = balanced_weight(inner.where("NOT is_valid"))
-
-    def score(params):
-        model = forest_estimator(params, seed).fit(fitting)
-        rows = _class_rows(model, inner.where("is_valid"), keys)
-        auc = metrics.ranking_metrics(rows).first()["roc_auc"]
-        return 0.5 if auc is None else auc
-
-    out = _search(train.sparkSession, forest_trial, score, trials, seed, False, fixed, parallelism)
+    fitting = balanced_weight(inner.where("NOT is_valid")).persist(StorageLevel.MEMORY_AND_DISK)
+    held = inner.where("is_valid").select("features", F.col("label").cast("int").alias("y_true"), F.lit(0.0).alias("votes"))
+
+    def grow(params, state, trees):
+        fresh = trees - state.trees
+        if fresh > 0:
+            model = forest_estimator({**params, "n_estimators": fresh}, seed + state.trees).fit(fitting)
+            share = fresh * vector_to_array("probability")[1]
+            rows = model.transform(state.rows).select("features", "y_true", (F.col("votes") + share).alias("votes"))
+            rows = settle(rows)
+            state.rows, state.trees = rows, trees
+            scored = rows.select("y_true", (F.col("votes") / trees).alias("y_prob"))
+            auc = metrics.ranking_metrics(scored).first()["roc_auc"]
+            auc = 0.5 if auc is None else auc
+            state.value = auc if state.value is None else max(auc, state.value)
+        return state.value
+
+    out = _halve(train.sparkSession, forest_trial, lambda p: _Votes(held), grow, FIRST_TREES, trials, seed, False,
+                 fixed, parallelism)
     inner.unpersist()
+    fitting.unpersist()
     return out
 
 
@@ -584,15 +635,19 @@ def fit_boosted(
     marked = sampling.split_rows(train, package.keys, 0.2, seed + 1)
     marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
     started = time.perf_counter()
-    model = fit_boosted_to_best(params, seed, marked, patience)
+    staged = fit_boosted_to_best(params, seed, marked, patience)
+    model = staged.model(best_round(staged.losses, patience))
     seconds = time.perf_counter() - started
+    staged.close()
     marked.unpersist()
     rows = settle(
         _regression_rows(model, _assembled(prep.valid, prep.columns, F.col(Y)), package.keys)
     )
     plain = [c.replace(" ", "_") for c in prep.columns]
-    table = importance_table(rows.sparkSession, plain, model.featureImportances.toArray())
-    info = {**prep.info, "params": params, "tuning": tuning}
+    found = model.featureImportances.toArray().tolist()
+    # The joined trees know features up to the last one they use.
+    table = importance_table(rows.sparkSession, plain, found + [0.0] * (len(plain) - len(found)))
+    info = {**prep.info, "params": params, "tuning": tuning, "rounds_fitted": len(staged.trees)}
     return Fit("optimized_boosted_regression", rows, metrics.regression_metrics(rows), seconds,
                table, None, model, info)
 

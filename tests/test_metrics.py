@@ -88,3 +88,26 @@ def test_silhouette_limits(spark):
     assert ops.silhouettes(two, ["a"], ["l"]).first()["silhouette"] is None
     one = spark.createDataFrame([(float(i), 0) for i in range(5)], "a double, l int")
     assert ops.silhouettes(one, ["a"], ["l"]).first()["silhouette"] is None
+
+
+def test_euclidean_silhouette_matches_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ops, "_BLOCK_ROWS", 40)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (90, 2)), rng.normal(3, 1, (60, 2)), [[9.0, 9.0]], np.ones((5, 2))])
+    one, two = np.repeat([7, 2, 5, 7], [90, 60, 1, 5]), np.arange(156) % 2
+    df = spark.createDataFrame([(*map(float, r), int(a), int(b), 1) for r, a, b in zip(x, one, two)], "a double, b double, l1 int, l2 int, l3 int")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+
+    def plain(labels):
+        out = []
+        for i, mine in enumerate(labels):
+            same = labels == mine
+            own = far[i, same].sum() / max(same.sum() - 1, 1)
+            near = min(far[i, labels == o].mean() for o in set(labels) - {mine})
+            out.append(0.0 if same.sum() == 1 else (near - own) / max(own, near))
+        return float(np.mean(out))
+
+    got = {r["labelling"]: r["silhouette"] for r in ops.euclidean_silhouettes(df, ["a", "b"], ["l1", "l2", "l3"]).collect()}
+    assert got["l1"] == pytest.approx(plain(one), abs=1e-12) and got["l2"] == pytest.approx(plain(two), abs=1e-12)
+    assert got["l3"] is None and ops.euclidean_silhouettes(df.limit(2), ["a"], ["l1"]).first()["silhouette"] is None
+    assert ops.euclidean_silhouettes(df.limit(0), ["a"], ["l1"]).first()["silhouette"] is None

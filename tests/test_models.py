@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from meterwise import constants as C
@@ -120,6 +122,79 @@ def test_best_round_waits_for_patience():
     assert plan.best_round([2.0], 5) == 1
 
 
+def _marked(clean):
+    rows = clean.select("k", "trip_distance", "pickup_hour", "fare_amount", F.col("tip_amount").alias("label"))
+    rows = rows.withColumn("is_valid", F.col("k") % 5 == 0)
+    return VectorAssembler(inputCols=["trip_distance", "pickup_hour", "fare_amount"], outputCol="features").transform(rows)
+
+
+BOOSTED = {"learning_rate": 0.3, "n_estimators": 30, "num_leaves": 7, "max_depth": None,
+           "min_child_samples": 5, "subsample": 1.0, "colsample": 1.0}
+
+
+def test_staged_trees_are_those_of_boosting_at_once(clean):
+    marked = _marked(clean)
+    state = plan.fit_boosted_to_best(BOOSTED, 7, marked, 99)
+    whole = GBTRegressor(seed=7, stepSize=0.3, maxIter=30, maxDepth=3, minInstancesPerNode=5,
+                         featureSubsetStrategy="all").fit(marked.where("NOT is_valid"))
+    held = marked.where("is_valid")
+    assert state.losses == pytest.approx(whole.evaluateEachIteration(held, "squared"), rel=1e-9)
+    assert state.settled == 25 and len(state.trees) == 30  # a checkpoint lies in between
+    model = state.model(30)
+    assert model.treeWeights == whole.treeWeights and model.getNumTrees == 30
+    assert model.featureImportances.toArray() == pytest.approx(whole.featureImportances.toArray(), abs=0.01)
+
+
+def test_boosting_stops_after_its_patience_and_resumes(clean):
+    marked = _marked(clean)
+    eager = {**BOOSTED, "n_estimators": 200, "learning_rate": 0.9, "num_leaves": 31}
+    state = plan.fit_boosted_to_best(eager, 7, marked, 4)
+    assert len(state.trees) == state.best + 4 < 200 and state.model().getNumTrees == state.best
+    assert min(state.losses) == state.losses[state.best - 1]
+    once = plan.fit_boosted_to_best({**BOOSTED, "n_estimators": 12}, 7, marked, 99)
+    twice = plan.fit_boosted_to_best({**BOOSTED, "n_estimators": 5}, 7, marked, 99)
+    plan.boosting.advance(twice, plan.boosted_tree(BOOSTED, 7), 12, 99, 7)
+    assert twice.losses == pytest.approx(once.losses, rel=1e-12)
+
+
+def test_halving_trains_the_better_trials_further(spark):
+    trained = {}
+
+    class State:
+        open = True
+
+        def close(self):
+            self.open = False
+
+    states = []
+
+    def begin(params):
+        states.append(State())
+        return states[-1]
+
+    def train(params, state, size):
+        assert state.open
+        trained.setdefault(params["x"], []).append(size)
+        return params["x"] + 1.0 / size
+
+    drawn = iter(range(10))
+    out = plan._halve(spark, lambda rng: {"x": next(drawn), "n_estimators": 100 + rng.randint(0, 0)}, begin, train,
+                      5, 10, 1, True, None, 2)
+    # Ten trials of 5 rounds, four of 15, two of 45, the last to its own end.
+    assert [len(trained[x]) for x in range(10)] == [4, 3, 2, 2, 1, 1, 1, 1, 1, 1]
+    assert trained[0] == [5, 15, 45, 100] and out.best["x"] == 0 and not any(s.open for s in states)
+    rows = out.table.collect()
+    assert [r["trained_to"] for r in rows] == [100, 45, 15, 15] + [5] * 6
+    assert out.value == min(r["value"] for r in rows)
+
+
+def test_forest_votes_add_up(package, report):
+    fit = plan.fit_forest(package, report, trials=3, fixed={"n_estimators": 12, "max_depth": 4})
+    rows = fit.info["tuning"].table.collect()
+    assert sorted(r["trained_to"] for r in rows) == [10, 10, 12]
+    assert fit.info["tuning"].value == max(r["value"] for r in rows) > 0.6
+
+
 def test_search_is_seeded_and_bounded(package, report):
     small = {"n_estimators": 3, "num_leaves": 7, "max_depth": 3}
     fit = plan.fit_boosted(package, report, trials=2, fixed=small)
