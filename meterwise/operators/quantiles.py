@@ -1,9 +1,10 @@
 """Exact ordered statistics without an unbounded buffer anywhere.
 
 Rows are first reduced to distinct values with counts (map-side combine does most of it), then
-every distinct value learns how many rows precede it. The order is built in two levels: a
-coarse, monotone bucket per value, whose totals form a small table, and the position inside
-the bucket. Large groups therefore spread over many tasks.
+every distinct value learns how many rows precede it. The order is built in two levels: ranges
+of (group, value) whose ends Spark draws from the values themselves, with totals that are carried
+from range to range, and the position inside the range. Ranges hold about as many distinct values
+each, so a large group spreads over many tasks however its values are distributed.
 """
 
 from collections.abc import Sequence
@@ -12,15 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Enough to spread one huge group over tens of tasks, few enough to keep the bucket table small.
-_BUCKETS_PER_UNIT = 16
-
-
-def _bucket(value: Column) -> Column:
-    """Monotone bucket number: fine near zero, logarithmic far from it."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * _BUCKETS_PER_UNIT)
-
-
+from meterwise.session import settle
 def value_counts(
     df: DataFrame,
     groups: Sequence[str],
@@ -33,7 +26,7 @@ def value_counts(
     pushed below the shuffle and make it differ between branches that could share it.
     """
     measures = measures or {"n": F.count(F.lit(1))}
-    counted = df.groupBy(*groups, _bucket(F.col(value)).alias("_bucket"), value).agg(
+    counted = df.groupBy(*groups, value).agg(
         F.count(value).alias("_seen"), *[m.alias(name) for name, m in measures.items()]
     )
     return counted.where(F.col("_seen") > 0).drop("_seen")
@@ -42,15 +35,24 @@ def value_counts(
 def running_totals(
     counts: DataFrame, groups: Sequence[str], value: str, measures: Sequence[str] = ("n",)
 ) -> DataFrame:
-    """Add ``<m>_before`` (rows with a smaller value) and ``<m>_total`` to distinct values."""
-    keys = [*groups, "_bucket"]
+    """Add ``<m>_before`` (rows with a smaller value) and ``<m>_total`` to distinct values.
+
+    The ranges are written once: a task that is run again must find the same ends. Values are
+    distinct, so no tie lies across an end. The totals form a small table, a row per range and
+    one per group more.
+    """
+    keys = [*groups, "_range"]
+    counts = settle(
+        counts.select(*groups, value, *measures).repartitionByRange(*groups, value)
+        .withColumn("_range", F.spark_partition_id())
+    )
     # A struct is never null itself, so window and join share one partitioning by plain equality.
     at = F.struct(*keys).alias("_at")
-    buckets = counts.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
-    over_buckets = Window.partitionBy(*groups).orderBy("_bucket")
-    before = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
+    over_ranges = Window.partitionBy(*groups).orderBy("_range")
+    before = over_ranges.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
-    offsets = buckets.select(
+    offsets = ranges.select(
         at,
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_o_{m}_before") for m in measures],
         *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],

@@ -56,3 +56,20 @@ def test_running_totals_of_two_measures(spark):
     rows = ops.running_totals(counts, [], "s", ["n", "pos"]).orderBy("s").collect()
     assert [(r["n_before"], r["pos_before"]) for r in rows] == [(0, 0), (2, 1), (3, 1)]
     assert {(r["n_total"], r["pos_total"]) for r in rows} == {(4, 2)}
+
+
+def test_one_group_in_a_narrow_band_spreads_over_the_ranges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    settled = []
+    monkeypatch.setattr(ops, "settle", lambda df: settled.append(df.cache()) or settled[-1])
+    with_small = spark.range(40_000).select(F.lit(1).alias("g"), (F.rand(3) / 1000).alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = ops.running_totals(ops.value_counts(with_small, ["g"], "v"), ["g"], "v").toPandas().sort_values("v")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    sizes = [r["count"] for r in settled[0].groupBy("_range").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 0.4 * 40_000
+    assert (ranked["n_before"].to_numpy() == np.arange(len(ranked))).all() and set(ranked["n_total"]) == {40_000}
