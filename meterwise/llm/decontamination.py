@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,88 +63,136 @@ class Block:
         return cls([n for n, _ in items], vocabulary, words, starts, seeds, first, place[order])
 
 
-def _seed_hits(block: Block, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (text, benchmark) of all seeds that both share, words compared."""
-    empty = np.empty(0, np.int64)
-    if len(ids) < width or not len(block.seeds):
-        return empty, empty
-    unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-    place = np.flatnonzero(unknown[width:] == unknown[:-width])
-    if not len(place):
-        return empty, empty
-    hashes = _rolling(ids, width)[place]
-    found = np.minimum(np.searchsorted(block.seeds, hashes), len(block.seeds) - 1)
-    hit = block.seeds[found] == hashes
-    place, found = place[hit], found[hit]
-    many = block.first[found + 1] - block.first[found]
-    left = np.repeat(place, many)
-    offset = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
-    right = block.at[np.repeat(block.first[found], many) + offset]
-    same = np.ones(len(left), bool)
-    for k in range(width):
-        same &= ids[left + k] == block.words[right + k]
-    return left[same], right[same]
+def _power(base: np.uint64, count: int) -> np.ndarray:
+    """base^0 to base^(count - 1), modulo 2^64."""
+    factors = np.full(count, base, np.uint64)
+    factors[:1] = 1
+    return np.multiply.accumulate(factors)
 
 
-def _tiles(runs: list[tuple[int, int, int]], min_tile: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of one text and one item.
+class _Windows:
+    """Karp-Rabin hashes of the windows of any width, from one running sum.
 
-    ``runs`` are maximal matches (length, text position, item position). The longest match of
-    unmarked words is marked first, ties by position; a match that meets marked words is cut
-    into its unmarked parts, which wait for their turn if they are long enough.
+    Word k of a window weighs base^-k, wherever the window starts: the sum of x_i base^-i up to
+    a place, times base^place, gives the hash of a window as a difference.
     """
-    queue = [(-n, p, q) for n, p, q in runs]
-    heapq.heapify(queue)
-    text_marks: set[int] = set()
-    item_marks: set[int] = set()
-    tiles = []
-    while queue:
-        n, p, q = heapq.heappop(queue)
-        n = -n
-        free = [p + k not in text_marks and q + k not in item_marks for k in range(n)]
-        if all(free):
-            tiles.append((n, p, q))
-            text_marks.update(range(p, p + n))
-            item_marks.update(range(q, q + n))
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+        self.free = ids != 0
+        mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        back = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed * _power(back, len(ids)), dtype=np.uint64)))
+        self.scale = _power(_BASE, len(ids))
+
+    def of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows without a marked word."""
+        taken = np.concatenate(([0], np.cumsum(~self.free)))
+        at = np.flatnonzero(taken[width:] == taken[:-width])
+        return at, (self.sums[at + width] - self.sums[at]) * self.scale[at]
+
+
+def _longest(text: _Windows, item: _Windows, low: int, high: int) -> int:
+    """The largest width up to ``high`` at which unmarked windows agree, 0 below ``low``."""
+    best = 0
+    while low <= high:
+        width = (low + high) // 2
+        if np.isin(text.of(width)[1], item.of(width)[1]).any():
+            best, low = width, width + 1
+        else:
+            high = width - 1
+    return best
+
+
+def _mark(text: _Windows, item: _Windows, width: int) -> int:
+    """Mark the matches of one width in order of text, then item position; returns their number."""
+    left, left_hash = text.of(width)
+    right, right_hash = item.of(width)
+    shared = np.isin(left_hash, right_hash)
+    order = np.argsort(right_hash, kind="stable")
+    right, right_hash = right[order], right_hash[order]
+    begin = np.searchsorted(right_hash, left_hash[shared])
+    end = np.searchsorted(right_hash, left_hash[shared], "right")
+    gone: dict[int, int] = {}  # places of a hash before this one are marked
+    tiles = 0
+    for p, first, last in zip(left[shared].tolist(), begin.tolist(), end.tolist()):
+        at = gone.get(first, first)
+        if at == last or not text.free[p : p + width].all():
             continue
-        k = 0
-        while k < n:
-            if free[k]:
-                end = k
-                while end < n and free[end]:
-                    end += 1
-                if end - k >= min_tile:
-                    heapq.heappush(queue, (-(end - k), p + k, q + k))
-                k = end
-            k += 1
+        while at < last and not item.free[right[at] : right[at] + width].all():
+            at += 1
+        gone[first] = at
+        for k in range(at, last):
+            q = right[k]
+            if item.free[q : q + width].all() and np.array_equal(text.ids[p : p + width], item.ids[q : q + width]):
+                text.free[p : p + width] = False
+                item.free[q : q + width] = False
+                tiles += 1
+                break
     return tiles
 
 
-def tile_text(block: Block, text: str | None, min_tile: int = MIN_TILE) -> list[tuple[int, int, int, int]]:
-    """For each item that shares a seed with the text: (item, matched words, tiles, words)."""
+def greedy_tiles(text: np.ndarray, item: np.ndarray, min_tile: int) -> tuple[int, int]:
+    """Greedy string tiling of word ids (0: no word of the item): (matched words, tiles).
+
+    Rounds run from the longest width at which unmarked windows agree to the shortest. Each
+    round marks all matches of its width, ties by position, which leaves none of that width.
+    Memory is linear in text and item.
+    """
+    a, b = _Windows(text), _Windows(item)
+    matched = tiles = 0
+    high = min(len(text), len(item))
+    while width := _longest(a, b, min_tile, high):
+        found = _mark(a, b, width)
+        matched, tiles, high = matched + found * width, tiles + found, width - 1
+    return matched, tiles
+
+
+def _kept(ids: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """The words inside windows at ``places``, with a 0 between parts that are not adjacent."""
+    inside = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(inside, places, 1)
+    np.add.at(inside, places + width, -1)
+    at = np.flatnonzero(np.cumsum(inside[:-1]))
+    return np.insert(ids[at], np.flatnonzero(np.diff(at) > 1) + 1, 0)
+
+
+def tile_text(block: Block, text: str | None, min_tile: int = MIN_TILE,
+              coverage: float = 0.0) -> list[tuple[int, int, int, int]]:
+    """For each item that shares a seed with the text: (item, matched words, tiles, words).
+
+    Items of which seeds cover less than ``coverage`` can not reach it and are left out.
+    """
     get = block.vocabulary.get
     words = words_of(text)
     ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-    left, right = _seed_hits(block, ids, min_tile)
-    if not len(left):
+    if len(ids) < min_tile or not len(block.seeds):
+        return []
+    unknown = np.concatenate(([0], np.cumsum(ids == 0)))
+    place = np.flatnonzero(unknown[min_tile:] == unknown[:-min_tile])
+    if not len(place):
+        return []
+    hashes = _rolling(ids, min_tile)[place]
+    seeds = np.unique(hashes)
+    near = np.minimum(np.searchsorted(block.seeds, seeds), len(block.seeds) - 1)
+    near = near[block.seeds[near] == seeds]
+    if not len(near):
         return []
-    item = np.searchsorted(block.starts, right, "right") - 1
-    order = np.lexsort((left, right - left, item))
-    left, right, item = left[order], right[order], item[order]
-    # Seeds that follow each other on one diagonal of one item form a maximal match.
-    new = np.ones(len(left), bool)
-    new[1:] = (item[1:] != item[:-1]) | (left[1:] != left[:-1] + 1) | (right[1:] != right[:-1] + 1)
-    begin = np.flatnonzero(new)
-    length = np.diff(np.append(begin, len(left))) + min_tile - 1
+    at = np.sort(np.concatenate([block.at[block.first[k] : block.first[k + 1]] for k in near]))
+    owner = np.searchsorted(block.starts, at, "right") - 1
+    edges = np.flatnonzero(np.diff(owner, prepend=-1))
     found = []
-    owners = item[begin]
-    edges = [0, *(np.flatnonzero(owners[1:] != owners[:-1]) + 1).tolist(), len(owners)]
-    for low, high in zip(edges, edges[1:]):
-        which, mine = int(owners[low]), begin[low:high]
-        runs = list(zip(length[low:high].tolist(), left[mine].tolist(), right[mine].tolist()))
-        tiles = _tiles(runs, min_tile)
-        size = int(block.starts[which + 1] - block.starts[which])
-        found.append((which, sum(n for n, _, _ in tiles), len(tiles), size))
+    for low, high in zip(edges.tolist(), [*edges[1:].tolist(), len(at)]):
+        which, mine = int(owner[low]), at[low:high]
+        start, size = block.starts[which], int(block.starts[which + 1] - block.starts[which])
+        if np.minimum(np.diff(mine, append=mine[-1] + min_tile), min_tile).sum() < coverage * size:
+            continue
+        part = block.words[start : start + size]
+        own = np.isin(hashes, _rolling(part, min_tile)[mine - start])
+        matched, tiles = greedy_tiles(_kept(ids, place[own], min_tile), _kept(part, mine - start, min_tile), min_tile)
+        if tiles:
+            found.append((which, matched, tiles, size))
     return found
 
 
@@ -201,7 +248,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 texts = batch.column(1)
                 rows, found = [], []
                 for i in range(len(texts)):
-                    for hit in tile_text(one, texts[i].as_py(), min_tile):
+                    for hit in tile_text(one, texts[i].as_py(), min_tile, coverage):
                         if hit[1] >= coverage * hit[3]:
                             rows.append(i)
                             found.append(hit)
@@ -230,7 +277,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                       item_col: str = "item_id", min_tile: int = MIN_TILE,
                       coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that cover no benchmark item to ``coverage``, columns unchanged."""
+    """The rows of ``docs`` that cover no benchmark item to ``coverage``, columns unchanged.
+
+    Null, empty and short texts cover nothing and stay; repeated rows stay or go alike. Other
+    columns ride along whatever their names. An empty table on either side drops nothing.
+    """
     at = docs.columns.index(text_col)
     for block in blocks(benchmark, item_col, text_col, min_tile, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -241,7 +292,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 clean = [
                     not any(
                         hit[1] >= coverage * hit[3]
-                        for hit in tile_text(shared.value, texts[i].as_py(), min_tile)
+                        for hit in tile_text(shared.value, texts[i].as_py(), min_tile, coverage)
                     )
                     for i in range(len(texts))
                 ]

@@ -17,6 +17,8 @@ SHARDS = 24
 TOLERANCE = 0.002
 PROBES = 64
 OVERHEAD = 8
+#: Equal texts are split only where they hold more than this part of a shard.
+GROUP_SHARE = 0.05
 _LOW, _HIGH = -(1 << 63), 1 << 63
 _CELL_ROWS = 1024
 _CELL_BITS = 12
@@ -107,7 +109,8 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
     """``shards - 1`` boundaries (hi, lo); shard k begins at boundary k.
 
     ``keys`` has hi, lo and size. Boundaries are first sought between different values of hi;
-    where the rows of one value straddle a target by more than the tolerance, their lo decides.
+    where the rows of one value straddle a target by more than the tolerance, the nearer end of
+    the value is taken, unless they hold more than ``GROUP_SHARE`` of a shard: then lo decides.
     """
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     slack = tolerance * total / shards
@@ -120,7 +123,8 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
     for k, s in enumerate(searches):
         at, off = s.best()
         bounds.append((at, _LOW))
-        if off > slack and s.high - s.low <= 1 and s.high_rows - s.low_rows > 1:
+        large = s.high_bytes - s.low_bytes > GROUP_SHARE * total / shards
+        if off > slack and large and s.high - s.low <= 1 and s.high_rows - s.low_rows > 1:
             inside.setdefault(s.low, []).append((k, s))
     for value, straddled in inside.items():  # fewer than the shards
         group = keys.where(F.col("hi") == F.lit(value))
@@ -163,8 +167,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     """``docs`` with ``__size``, ``__shard`` (0 to ``shards`` - 1) and ``__slot`` (gapless from 0).
 
     Rows are ordered by the hash of their text, then of their id, and cut where shards hold
-    near equal bytes: within ``tolerance`` of a shard, or as near as one row allows. Equal
-    texts stand together and share a shard unless keeping them whole would miss the tolerance.
+    near equal bytes: within ``tolerance`` of a shard, or as near as one row or one group of
+    equal texts allows. Equal texts stand together and share a shard; only a group that holds
+    more than ``GROUP_SHARE`` of a shard is cut, and only where it meets a boundary.
 
     Null texts count as empty, null ids as an empty string; both are placed like others. Rows
     equal in id and text share a key and so a shard. Other columns ride along; names that begin

@@ -39,10 +39,30 @@ def test_tiling_matches_the_plain_algorithm():
         block = dc.Block.build([(0, other), (1, item), (2, ["z"] * 6)], 5)
         got = {i: (n, tiles) for i, n, tiles, _ in dc.tile_text(block, " ".join(text), 5)}
         want = plain_tiles(text, item, 5)
-        assert got.get(1, (0, 0))[0] == want[0]
+        assert got.get(1, (0, 0)) == want
         assert 2 not in got
 
 
+def test_repetitive_texts_need_linear_memory():
+    import tracemalloc
+
+    block = dc.Block.build([(0, ["again"] * 20_000), (1, ["tick", "tock"] * 10_000)], 5)
+    tracemalloc.start()
+    got = dc.tile_text(block, "again " * 50_000, 5)
+    assert got == [(0, 20_000, 1, 20_000)]
+    assert {g[0]: g[1] for g in dc.tile_text(block, "tick tock " * 7_000 + "x " + "again " * 40, 5)} == {0: 40, 1: 14_000}
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
+def test_items_that_seeds_can_not_cover_are_left_out():
+    item = [f"w{i}" for i in range(20)]
+    block = dc.Block.build([(0, item)], 5)
+    text = " ".join(item[:9])
+    assert dc.tile_text(block, text, 5) == [(0, 9, 1, 20)] and dc.tile_text(block, text, 5, 0.5) == []
+    assert dc.tile_text(block, text, 5, 0.45) == [(0, 9, 1, 20)]
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     words = [f"w{i}" for i in range(40)]

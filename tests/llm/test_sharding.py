@@ -44,6 +44,17 @@ def test_equal_texts_share_a_shard_unless_they_are_many(spark):
     assert sorted((str(r.doc_id), r["__shard"]) for r in again) == sorted((str(r.doc_id), r["__shard"]) for r in got)
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_groups_of_the_tables_stay_whole(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
+    homes = sharding.assign(docs).selectExpr("md5(coalesce(text, '')) AS h", "`__shard` AS s", "`__size` AS n").toPandas()
+    groups = homes.groupby("h").agg(homes=("s", "nunique"), size=("n", "sum"))
+    shard = homes["n"].sum() / sharding.SHARDS
+    assert groups.loc[groups["size"] <= sharding.GROUP_SHARE * shard, "homes"].max() == 1
+    sizes = homes.groupby("s")["n"].sum()
+    assert len(sizes) == 24 and (sizes - shard).abs().max() < 0.03 * shard + homes["n"].max()
+
+
 def test_one_text_for_all_rows_repeated_rows_and_empty_table(spark):
     rows = [(i, "one") for i in range(480)]
     got = sharding.assign(spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA)).collect()
