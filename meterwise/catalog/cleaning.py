@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from meterwise import constants as C
 from meterwise.catalog import query
 from meterwise.catalog import sqltext as S
 from meterwise.catalog.common import (
@@ -81,8 +82,7 @@ def weekend_flag(spark, sf):
 
 @query(
     "b06_rush_hour_flag",
-    """SELECT event_id, hour(ts) BETWEEN 7 AND 9 OR hour(ts) BETWEEN 16 AND 18 AS rush_hour
-FROM events""",
+    f"SELECT event_id, {S.hour_in('hour(ts)', C.RUSH_HOURS)} AS rush_hour FROM events",
 )
 def rush_hour_flag(spark, sf):
     return _timed_events(spark, sf).select("event_id", "rush_hour")
@@ -90,7 +90,7 @@ def rush_hour_flag(spark, sf):
 
 @query(
     "b07_night_flag",
-    "SELECT event_id, hour(ts) >= 22 OR hour(ts) <= 5 AS night_trip FROM events",
+    f"SELECT event_id, {S.hour_in('hour(ts)', C.NIGHT_HOURS)} AS night_trip FROM events",
 )
 def night_flag(spark, sf):
     return _timed_events(spark, sf).select("event_id", "night_trip")
@@ -133,7 +133,8 @@ def speed_mph(spark, sf):
 
 @query(
     "b10_minute_boundary_gate",
-    _MOTION + "SELECT trip_key, crossed AS minutes_crossed FROM motion WHERE crossed BETWEEN 1 AND 300",
+    _MOTION + f"""SELECT trip_key, crossed AS minutes_crossed FROM motion
+WHERE crossed BETWEEN {C.MIN_MINUTES_CROSSED} AND {C.MAX_MINUTES}""",
 )
 def minute_boundary_gate(spark, sf):
     return _moving(spark, sf).where(ops.duration_gate()).select(KEY, "minutes_crossed")
@@ -141,8 +142,8 @@ def minute_boundary_gate(spark, sf):
 
 @query(
     "b11_speed_gate",
-    _MOTION + """SELECT trip_key, trip_distance / nullif(secs / 3600e0, 0) AS speed_mph_raw
-FROM motion WHERE trip_distance / nullif(secs / 3600e0, 0) BETWEEN 0 AND 60""",
+    _MOTION + f"""SELECT trip_key, trip_distance / nullif(secs / 3600e0, 0) AS speed_mph_raw
+FROM motion WHERE speed_mph_raw BETWEEN 0 AND {C.MAX_SPEED_MPH}""",
 )
 def speed_gate(spark, sf):
     return _moving(spark, sf).where(ops.speed_gate()).select(KEY, "speed_mph_raw")
@@ -173,15 +174,8 @@ def tip_rate(spark, sf):
 
 @query(
     "b14_tariff_by_date",
-    S.from_valid("""
-SELECT trip_key,
-  CASE WHEN year = 2000 AND pickup_datetime >= TIMESTAMP '2000-12-19' THEN 3.0e0 ELSE 2.5e0 END
-    AS initial_charge,
-  CASE WHEN year = 2000 AND pickup_datetime >= TIMESTAMP '2000-12-19' THEN 0.7e0 ELSE 0.5e0 END
-    AS unit_rate,
-  CASE WHEN year = 2000 AND pickup_datetime >= TIMESTAMP '2000-12-19' THEN 70e0 ELSE 52e0 END
-    AS flat_fare
-FROM valid"""),
+    S.from_valid(f""",{S.TARIFFS}
+SELECT trip_key, initial_charge, unit_rate, flat_fare FROM valid JOIN tariffs ON {S.IN_FORCE}"""),
 )
 def tariff_by_date(spark, sf):
     trips = ops.add_tariff(valid(spark, sf), dt.RULES, F.col("year"))
@@ -190,23 +184,15 @@ def tariff_by_date(spark, sf):
 
 @query(
     "b15_meter_ticks",
-    _MOTION + """SELECT trip_key,
-CAST(floor(greatest(trip_distance / 0.2e0, secs / 60e0)) AS INT) AS min_ticks,
-CAST(ceil(greatest(trip_distance / 0.2e0, secs / 60e0)) AS INT) AS max_ticks FROM motion""",
+    _MOTION + f"""SELECT trip_key, CAST(floor({S.TICKS}) AS INT) AS min_ticks,
+CAST(ceil({S.TICKS}) AS INT) AS max_ticks FROM motion""",
 )
 def meter_ticks(spark, sf):
     return ops.add_ticks(_moving(spark, sf)).select(KEY, "min_ticks", "max_ticks")
 
 
 @query(
-    "b16_capped_addons",
-    S.from_valid("""
-SELECT trip_key, least(greatest(coalesce(extra, 0e0), 0e0), 5e0)
-  + least(greatest(coalesce(mta_tax, 0e0), 0e0), 1e0)
-  + least(greatest(coalesce(improvement_surcharge, 0e0), 0e0), 1e0)
-  + least(greatest(coalesce(congestion_surcharge, 0e0), 0e0), 5e0)
-  + least(greatest(coalesce(airport_fee, 0e0), 0e0), 2e0) AS capped_addons
-FROM valid"""),
+    "b16_capped_addons", S.from_valid(f" SELECT trip_key, {S.ADDONS} AS capped_addons FROM valid"),
 )
 def capped_addons(spark, sf):
     return ops.add_ticks(_moving(spark, sf)).select(KEY, "capped_addons")
@@ -236,10 +222,10 @@ def fare_band(spark, sf):
 
 @query(
     "b20_tolerance_filter",
-    S.from_rated("""
-SELECT trip_key, fare_amount, meter_lo * (1e0 - 0.2e0) AS lowest, meter_hi * (1e0 + 0.2e0) AS highest
+    S.from_rated(f"""
+SELECT trip_key, fare_amount, {S.LOWEST} AS lowest, {S.HIGHEST} AS highest
 FROM rated
-WHERE fare_amount >= meter_lo * (1e0 - 0.2e0) AND fare_amount <= meter_hi * (1e0 + 0.2e0)"""),
+WHERE fare_amount BETWEEN {S.LOWEST} AND {S.HIGHEST}"""),
 )
 def tolerance_filter(spark, sf):
     t = dt.RULES.tolerance
@@ -270,9 +256,9 @@ def narrow_casts(spark, sf):
 
 @query(
     "b22_final_guards",
-    S.from_rated("""
+    S.from_rated(f"""
 SELECT trip_key, duration_min, speed_mph, trip_distance FROM rated
-WHERE duration_min > 0 AND duration_min < 300 AND trip_distance < 100 AND speed_mph < 60"""),
+WHERE {S.within('duration_min', 0, C.MAX_MINUTES)} AND trip_distance < {C.MAX_MILES} AND speed_mph < {C.MAX_SPEED_MPH}"""),
 )
 def final_guards(spark, sf):
     return rated(spark, sf).where(ops.final_guards()).select(

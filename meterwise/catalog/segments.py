@@ -739,7 +739,4 @@ def segment_years(spark, sf):
     """Every year that the data holds."""
     rows = clean(spark, sf)
     years = [r["year"] for r in rows.select("year").distinct().orderBy("year").collect()]
-    _, summary = plan.segment_years(
-        rows, years, [KEY], k_min=2, k_max=4, grid_restarts=1, final_restarts=1
-    )
-    return summary
+    return plan.segment_years(rows, years, [KEY])[1]

@@ -105,6 +105,15 @@ ENCODED_AWAY = ["pickup_hour", "month_num", "pickup_borough", "dow", "rush_hour"
 CARD_PAYMENT = 1
 METERED_RATE_CODES = [1, 2]
 FLAT_RATE_CODE = 2
+# Limits of a plausible trip.
+MAX_MILES = 100
+MAX_SPEED_MPH = 60
+MAX_MINUTES = 300
+MIN_MINUTES_CROSSED = 1
+# Hours (both ends included) and ISO weekdays.
+RUSH_HOURS = ((7, 9), (16, 18))
+NIGHT_HOURS = ((22, 23), (0, 5))
+WEEKEND_DAYS = (6, 7)
 MILES_PER_TICK = 0.2
 SECONDS_PER_TICK = 60.0
 ADDON_CAPS = {

@@ -4,9 +4,12 @@ All differences are built from date and clock fields, so the same numbers come o
 ``timestamp_ntz`` columns under any session time zone.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from meterwise import constants as C
 
 _DAY_ONE = "0001-01-01 00:00:00"
 
@@ -41,14 +44,16 @@ def iso_weekday(ts: Column) -> Column:
 
 
 def is_weekend(ts: Column) -> Column:
-    return iso_weekday(ts).isin(6, 7)
+    return iso_weekday(ts).isin(*C.WEEKEND_DAYS)
+
+
+def _hour_in(ts: Column, spans: tuple[tuple[int, int], ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.hour(ts).between(*span) for span in spans])
 
 
 def is_rush_hour(ts: Column) -> Column:
-    hour = F.hour(ts)
-    return hour.between(7, 9) | hour.between(16, 18)
+    return _hour_in(ts, C.RUSH_HOURS)
 
 
 def is_night(ts: Column) -> Column:
-    hour = F.hour(ts)
-    return (hour >= 22) | (hour <= 5)
+    return _hour_in(ts, C.NIGHT_HOURS)

@@ -45,7 +45,7 @@ def validity(raw: DataFrame) -> Column:
     return (
         (F.col("payment_type") == C.CARD_PAYMENT)
         & (F.col("trip_distance") > 0)
-        & (F.col("trip_distance") < 100)
+        & (F.col("trip_distance") < C.MAX_MILES)
         & (F.col("fare_amount") > 0)
         & (F.col("tip_amount") >= 0)
         & pickup.isNotNull()
@@ -128,11 +128,11 @@ def add_motion(trips: DataFrame) -> DataFrame:
 
 
 def duration_gate() -> Column:
-    return F.col("minutes_crossed").between(1, 300)
+    return F.col("minutes_crossed").between(C.MIN_MINUTES_CROSSED, C.MAX_MINUTES)
 
 
 def speed_gate() -> Column:
-    return F.col("speed_mph_raw").between(0, 60)
+    return F.col("speed_mph_raw").between(0, C.MAX_SPEED_MPH)
 
 
 def add_trip_flags(trips: DataFrame) -> DataFrame:
@@ -214,9 +214,9 @@ def final_guards() -> Column:
     duration = F.col("duration_min")
     return (
         (duration > 0)
-        & (duration < 300)
-        & (F.col("trip_distance") < 100)
-        & (F.col("speed_mph") < 60.0)
+        & (duration < C.MAX_MINUTES)
+        & (F.col("trip_distance") < C.MAX_MILES)
+        & (F.col("speed_mph") < C.MAX_SPEED_MPH)
     )
 
 

@@ -70,18 +70,17 @@ def category_mix(
 def top_categories(df: DataFrame, category: str, top_n: int = 10) -> DataFrame:
     """The most frequent categories per cluster with their rank and shares; ties by name.
 
-    Rows are counted per (cluster, category) first, so the ranking sees only the categories.
+    Rows are counted per (cluster, category) first, and clusters are summed apart from the
+    ranking: each task then passes on only its own first ``top_n`` categories of a cluster.
     """
     counts = df.groupBy(CLUSTER, category).agg(F.count(F.lit(1)).alias("count"))
     by_cluster = Window.partitionBy(CLUSTER)
     order = by_cluster.orderBy(F.col("count").desc(), F.col(category).asc())
-    ranked = counts.select(
-        CLUSTER,
-        category,
-        "count",
-        F.row_number().over(order).alias("rank"),
-        F.sum("count").over(by_cluster).alias("cluster_total"),
-    ).where(F.col("rank") <= top_n)
+    first = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    totals = counts.groupBy(F.col(CLUSTER).alias("_cluster")).agg(F.sum("count").alias("cluster_total"))
+    ranked = first.join(totals, F.col(CLUSTER).eqNullSafe(F.col("_cluster"))).select(
+        CLUSTER, category, "count", "rank", "cluster_total"
+    )
     return ranked.select(
         "*",
         (F.col("count") / F.col("cluster_total") * 100.0).alias("pct_within_cluster"),
