@@ -412,15 +412,15 @@ def random_forest(spark, sf):
 
 @query("h11_tune_boosted")
 def tune_boosted(spark, sf):
-    fit = plan.fit_boosted(package(spark, sf), report(spark, sf), trials=9,
-                           fixed={"n_estimators": 50, "num_leaves": 31})
+    fit = plan.fit_boosted(package(spark, sf), report(spark, sf), trials=3,
+                           fixed={"n_estimators": 30, "num_leaves": 31})
     return fit.info["tuning"].table
 
 
 @query("h12_tune_forest")
 def tune_forest(spark, sf):
-    fit = plan.fit_forest(package(spark, sf), report(spark, sf), trials=9,
-                          fixed={"n_estimators": 50, "max_depth": 12})
+    fit = plan.fit_forest(package(spark, sf), report(spark, sf), trials=3,
+                          fixed={"n_estimators": 30, "max_depth": 8})
     return fit.info["tuning"].table
 
 

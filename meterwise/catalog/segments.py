@@ -739,4 +739,4 @@ def segment_years(spark, sf):
     """Every year that the data holds."""
     rows = clean(spark, sf)
     years = [r["year"] for r in rows.select("year").distinct().orderBy("year").collect()]
-    return plan.segment_years(rows, years, [KEY])[1]
+    return plan.segment_years(rows, years, [KEY], grid_restarts=5, final_restarts=5)[1]
