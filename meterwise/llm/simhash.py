@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterwise.llm.components import connected_components
-from meterwise.llm.storage import hand_over, row_key
+from meterwise.llm.storage import free_name, hand_over, row_key
 
 SEED = 42
 WIDTH = 4
@@ -213,14 +213,17 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+def _classes(
+    keyed: DataFrame, id_col: str, radius: int, more_links: DataFrame | None = None
+) -> DataFrame:
     """Every row's id, key and fingerprint with the root and smallest id of its component.
 
     Equal fingerprints are merged before the index is built, so exact copies cost one posting.
+    ``more_links`` are further ``(u, v)`` links between fingerprints.
     """
-    keyed = hand_over(fingerprints(docs, id_col, text_col), "fingerprints")
     owners = hand_over(keyed.groupBy("fp").agg(F.min(id_col).alias("first_id")), "owners")
-    nodes = connected_components(fingerprint_links(owners, radius))
+    links = fingerprint_links(owners, radius)
+    nodes = connected_components(links if more_links is None else links.union(more_links))
     grouped = hand_over(
         owners.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
             "root", F.coalesce("root", "fp")
@@ -246,23 +249,41 @@ def near_duplicates(
     there is none. Repeated rows are returned as often as they occur. Other columns of ``docs``
     are not read, so their names cannot clash. An empty table gives an empty table.
     """
-    return _classes(docs, id_col, text_col, radius).select(
+    keyed = hand_over(fingerprints(docs, id_col, text_col), "fingerprints")
+    return _classes(keyed, id_col, radius).select(
         id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_first(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    radius: int = RADIUS,
+    similarity: float | None = None,
 ) -> DataFrame:
     """Keep one row of every near-duplicate group: the one with the smallest id.
 
-    Columns and their names stay as they are. Rows that share the winning id are told apart by
-    their text, and rows that repeat both are reduced to one; a group without any id keeps one.
+    With a ``similarity`` texts are linked as well if their sets of five-word shingles are as
+    similar as that (``similarity.similar_links``); fingerprints within ``radius`` bits are
+    linked in any case.
+
+    Columns and their names stay as they are, whatever they are. Rows that share the winning id
+    are told apart by their text, and rows that repeat both are reduced to one; a group without
+    any id keeps one. Null and empty texts form one group. An empty table gives an empty table.
     """
-    found = _classes(docs, id_col, text_col, radius)
+    if similarity is None:
+        keyed, more_links = hand_over(fingerprints(docs, id_col, text_col), "fingerprints"), None
+    else:
+        from meterwise.llm.similarity import shingle_sets, similar_links
+
+        sets = hand_over(shingle_sets(docs, id_col, text_col), "shingle-sets")
+        keyed, more_links = sets.select(id_col, "key", "fp"), similar_links(sets, similarity)
+    found = _classes(keyed, id_col, radius, more_links)
     winners = found.groupBy("root").agg(
         F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col), "key")).alias("w")
     )
-    winners = hand_over(winners.select(F.col("w.key").alias(_KEY)), "winners")
-    kept = docs.withColumn(_KEY, row_key(id_col, text_col)).join(winners, _KEY, "left_semi")
-    return kept.dropDuplicates([_KEY]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = free_name(docs, _KEY)
+    winners = hand_over(winners.select(F.col("w.key").alias(mark)), "winners")
+    kept = docs.withColumn(mark, row_key(id_col, text_col)).join(winners, mark, "left_semi")
+    return kept.dropDuplicates([mark]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -29,3 +29,11 @@ def row_key(id_col: str, text_col: str) -> Column:
         F.lit(":"),
         F.hex(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))),
     )
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened by underscores until ``df`` has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -7,6 +7,7 @@ from meterwise.llm import toxicity
 from test_decontamination import plain_tiles
 from test_mixing import plain_targets
 from test_simhash import plain_fingerprint
+from test_similarity import alike, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,10 +36,12 @@ def test_toxic_documents_go_and_others_stay(spark, stages):
 def test_one_document_of_each_group_stays(stages):
     rows = stages[1]
     fps = [plain_fingerprint(r.text) for r in rows]
+    sets = [shingles(r.text) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4 and group[i] != group[j]:
+            linked = (fps[i] ^ fps[j]).bit_count() <= 4 or alike(sets[i], sets[j])
+            if linked and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     first = {}
