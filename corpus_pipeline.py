@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterwise.llm import decontamination, mixing, sharding, simhash, toxicity
+from meterwise.llm import decontamination, mixing, sharding, simhash, similarity, toxicity
 from meterwise.llm.storage import hand_over
 
 #: No SQL: the stages fit a classifier, hash with XXH64 and refine splitters by counts.
@@ -22,8 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every SimHash group."""
-    return simhash.keep_first(docs)
+    """Keep the document with the smallest id of every group of near-duplicates.
+
+    Documents are linked by SimHash, or if their sets of five-word shingles are alike to 0.8.
+    Null and empty texts form one group; a group without ids keeps one row.
+    """
+    return simhash.keep_first(docs, similarity=similarity.SIMILARITY)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
