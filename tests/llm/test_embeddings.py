@@ -78,3 +78,21 @@ def test_bounds_hold_and_settle_most_pairs():
 
 def test_empty_table(spark):
     assert em.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_codes_alone_settle_pairs_and_survive_packing():
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(300, 32))
+    data[150:] = data[:150] + 0.35 * rng.normal(size=(150, 32))
+    q = em.Quantised(data)
+    codes = em.Codes.unpacked(q.packed())
+    exact = data @ data.T / np.outer(q.norms, q.norms) >= 0.93
+    sure, undecided = em.settle_by_codes(codes, codes, slice(0, 300), 0.93)
+    assert exact[sure].all() and not exact[~sure & ~undecided].any()
+    assert 0 < undecided.sum() < 1000
+    weight = np.ones(300, np.int64)
+    by_codes, _, unsettled = em.compare(codes, weight, 300, 0.93)
+    part = np.flatnonzero(unsettled)
+    some = em.Codes.unpacked([q.packed()[k] for k in part])
+    by_codes[part] += em.compare(some, weight[part], len(part), 0.93, data[part])[0]
+    assert np.array_equal(by_codes, exact.sum(axis=1) - 1)
