@@ -141,15 +141,48 @@ def log_columns(spark, sf):
     return spark.createDataFrame([(c,) for c in chosen], "feature string")
 
 
-@query("h04_correlated_drop")
+_PAIRED = [(a, b) for i, a in enumerate(CONTINUOUS + LOW_CARD)
+           for b in (CONTINUOUS + LOW_CARD)[i + 1:]]
+_STRENGTH = union(
+    f"""SELECT '{c}' AS feature, (SELECT abs(corr(rx, ry)) FROM (
+SELECT rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rx,
+  rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM train)) AS strength"""
+    for c in CONTINUOUS + LOW_CARD
+)
+
+
+@query(
+    "h04_correlated_drop",
+    S.from_clean(
+        """SELECT dropped FROM (
+WITH RECURSIVE walk(place, gone) AS (
+  SELECT 0, CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT walk.place + 1, CASE WHEN list_contains(gone, feature_1) OR list_contains(gone, feature_2)
+    THEN gone ELSE list_append(gone, loser) END
+  FROM walk JOIN ordered ON ordered.place = walk.place + 1)
+SELECT unnest(gone) AS dropped FROM walk WHERE place = (SELECT max(place) FROM walk))""",
+        DATASET,
+        "strengths AS (" + _STRENGTH + """),
+correlated AS (""" + union(
+            f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, abs(corr({a}, {b})) AS r FROM train"
+            for a, b in _PAIRED
+        ) + """),
+ordered AS (
+  SELECT feature_1, feature_2, row_number() OVER (ORDER BY r DESC, feature_1, feature_2) AS place,
+    CASE WHEN one.strength < two.strength THEN feature_1 ELSE feature_2 END AS loser
+  FROM correlated JOIN strengths one ON one.feature = feature_1
+    JOIN strengths two ON two.feature = feature_2 WHERE r >= 0.4)""",
+    ),
+)
 def correlated_drop(spark, sf):
     """Features dropped when every pair at or above 0.4 counts as correlated, with the pairs."""
     data, checks = package(spark, sf), report(spark, sf)
     columns = checks.groups["continuous"] + checks.groups["low_card"]
-    pairs = profiling.high_correlations(data.train, columns, 0.4)
+    pairs = profiling.high_correlations(data.train, columns, 0.4, checks.moments)
     walked = [(r["feature_1"], r["feature_2"], r["abs_corr"]) for r in pairs.collect()]
     dropped = plan.weaker_of_pairs(
-        walked, checks.strengths(), profiling.variances(data.train, columns)
+        walked, checks.strengths(), profiling.variances(data.train, columns, checks.moments)
     )
     return spark.createDataFrame([(c,) for c in dropped], "dropped string")
 
@@ -185,10 +218,6 @@ def preprocess_frame(spark, sf):
     return rounded(out, *CONTINUOUS, digits=5)
 
 
-_PAIRED = [(a, b) for i, a in enumerate(CONTINUOUS + LOW_CARD)
-           for b in (CONTINUOUS + LOW_CARD)[i + 1:]]
-
-
 @query(
     "h06_prep_checks",
     S.from_clean(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meterwise import constants as C
 from meterwise.functions.numeric import sample_kurtosis, sample_skew
+from meterwise.operators.moments import moment_matrix, pearson, sample_variances
 from meterwise.operators.quantiles import (
     average_ranks,
     column_quantiles,
@@ -223,25 +224,19 @@ def groups_by_kind(table: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def pearson_with_target(df: DataFrame, columns: Sequence[str], y: str = "y") -> DataFrame:
-    """Pearson correlation per feature; constant features and fewer than 3 pairs are skipped."""
-    value, target = F.col("value"), _num(y)
-    x, t = F.when(target.isNotNull(), value), F.when(value.isNotNull(), target)
-    table = per_column(
-        df,
-        columns,
-        {
-            "pairs": F.count(x),
-            "varies": (F.min(x) < F.max(x)) & (F.min(t) < F.max(t)),
-            "shared": F.covar_pop(x, t),
-            "dx": F.stddev_pop(x),
-            "dt": F.stddev_pop(t),
-        },
-        keep=[y],
+def pearson_with_target(
+    df: DataFrame, columns: Sequence[str], y: str = "y", moments: DataFrame | None = None
+) -> DataFrame:
+    """Pearson correlation per feature; constant features and fewer than 3 pairs are skipped.
+
+    ``moments`` is a moment matrix that has the columns and then the target, if there is one.
+    """
+    table = moment_matrix(df, [*columns, y]) if moments is None else moments
+    with_target = table.where(
+        (F.col("feature_2") == y) & F.col("feature_1").isin(list(columns)) & (F.col("pairs") >= 3)
     )
-    corr = F.try_divide(F.col("shared"), F.col("dx") * F.col("dt"))
-    usable = (F.col("pairs") >= 3) & F.col("varies")
-    return table.where(usable).select("feature", corr.alias("pearson_corr"))
+    corr = with_target.select(F.col("feature_1").alias("feature"), pearson().alias("pearson_corr"))
+    return corr.where("pearson_corr IS NOT NULL")
 
 
 def spearman_with_target(df: DataFrame, columns: Sequence[str], y: str = "y") -> DataFrame:
@@ -281,10 +276,10 @@ def weighted_ranks(pairs: DataFrame, value: str) -> DataFrame:
 
 
 def feature_target_correlations(
-    df: DataFrame, columns: Sequence[str], y: str = "y"
+    df: DataFrame, columns: Sequence[str], y: str = "y", moments: DataFrame | None = None
 ) -> DataFrame:
     """Both correlations with their absolute values, strongest first."""
-    both = pearson_with_target(df, columns, y).join(
+    both = pearson_with_target(df, columns, y, moments).join(
         spearman_with_target(df, columns, y), "feature", "left"
     )
     return both.withColumns(
@@ -293,50 +288,55 @@ def feature_target_correlations(
 
 
 def high_correlations(
-    df: DataFrame, columns: Sequence[str], cutoff: float = C.CORR_CUTOFF
+    df: DataFrame,
+    columns: Sequence[str],
+    cutoff: float = C.CORR_CUTOFF,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
     """Feature pairs whose absolute Pearson correlation reaches the cutoff, strongest first.
 
-    Every pair of *columns* is one aggregate of a single pass; rows are never paired.
+    They are lines of the moment matrix, in the order of *columns*; rows are never paired.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    schema = "feature_1 string, feature_2 string, abs_corr double"
-    if not pairs:
+    if not columns:
+        schema = "feature_1 string, feature_2 string, abs_corr double"
         return df.sparkSession.createDataFrame([], schema)
-    varies = {c: F.min(_num(c)) < F.max(_num(c)) for c in columns}
-    wide = df.agg(
-        *[
-            F.when(varies[a] & varies[b], F.abs(correlation(a, b))).alias(str(i))
-            for i, (a, b) in enumerate(pairs)
-        ]
+    table = moment_matrix(df, columns) if moments is None else moments
+    order = F.array(*[F.lit(c) for c in columns])
+    one, two = F.col("feature_1"), F.col("feature_2")
+    at_one, at_two = F.array_position(order, one), F.array_position(order, two)
+    pairs = table.where((at_one > 0) & (at_two > 0) & (at_one != at_two)).select(
+        F.when(at_one < at_two, one).otherwise(two).alias("feature_1"),
+        F.when(at_one < at_two, two).otherwise(one).alias("feature_2"),
+        F.abs(pearson()).alias("abs_corr"),
+    )
+    return pairs.where(F.col("abs_corr") >= cutoff).orderBy(
+        F.col("abs_corr").desc(), "feature_1", "feature_2"
     )
-    rows = [
-        F.struct(
-            F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(str(i)).alias("abs_corr")
-        )
-        for i, (a, b) in enumerate(pairs)
-    ]
-    table = wide.select(F.inline(F.array(*rows))).where(F.col("abs_corr") >= cutoff)
-    return table.orderBy(F.col("abs_corr").desc(), "feature_1", "feature_2")
 
 
-def low_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def low_variance(
+    df: DataFrame, columns: Sequence[str], moments: DataFrame | None = None
+) -> DataFrame:
     """Columns with zero or near-zero sample variance."""
-    table = per_column(df, columns, {"variance": F.var_samp("value")})
+    table = sample_variances(moment_matrix(df, columns) if moments is None else moments)
     v = F.col("variance")
     level = F.when(v <= C.ZERO_VARIANCE, "zero").when(v <= C.NEAR_ZERO_VARIANCE, "near_zero")
-    return table.withColumn("level", level).where("level IS NOT NULL")
+    chosen = table.where(F.col("feature").isin(list(columns)))
+    return chosen.withColumn("level", level).where("level IS NOT NULL")
 
 
-def variances(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+def variances(
+    df: DataFrame, columns: Sequence[str], moments: DataFrame | None = None
+) -> dict[str, float]:
     if not columns:
         return {}
-    table = per_column(df, columns, {"variance": F.var_samp("value")})
-    return {r["feature"]: r["variance"] for r in table.collect()}
+    table = sample_variances(moment_matrix(df, columns) if moments is None else moments)
+    chosen = table.where(F.col("feature").isin(list(columns)))
+    return {r["feature"]: r["variance"] for r in chosen.collect()}
 
 
-def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns with at most one distinct value, where null counts as a value."""
+def column_spreads(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(feature, constant, variance)``: at most one distinct value, null being one; and var_samp."""
     table = per_column(
         df,
         columns,
@@ -344,10 +344,17 @@ def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "rows": F.count(F.lit(1)),
             "filled": F.count("value"),
             "same": F.min("value") == F.max("value"),
+            "variance": F.var_samp("value"),
         },
     )
     full = (F.col("filled") == F.col("rows")) & F.col("same")
-    return table.where(full | (F.col("filled") == 0)).select("feature")
+    constant = F.coalesce(full | (F.col("filled") == 0), F.lit(False))
+    return table.select("feature", constant.alias("constant"), "variance")
+
+
+def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns with at most one distinct value, where null counts as a value."""
+    return column_spreads(df, columns).where("constant").select("feature")
 
 
 # The texts of the advice.

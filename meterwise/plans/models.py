@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from meterwise import constants as C
 from meterwise.functions.numeric import clipped_log1p
 from meterwise.operators import features, metrics, outliers, profiling, sampling
+from meterwise.operators.moments import moment_matrix
 from meterwise.plans import boosting
 from meterwise.session import settle
 from meterwise.sources import results, trips
@@ -102,6 +103,7 @@ class PrepReport:
     pairs: DataFrame
     low_variance: DataFrame
     scaling: DataFrame
+    moments: DataFrame
 
     def log_columns(self) -> list[str]:
         chosen = self.skews.where("suggested_transform = 'log1p'").select("feature")
@@ -124,7 +126,11 @@ def prep_checks(
     corr_cutoff: float = C.CORR_CUTOFF,
     skew_cutoff: float = C.SKEW_CUTOFF,
 ) -> PrepReport:
-    """All diagnostics of the train rows; each table is one job, however many features."""
+    """All diagnostics of the train rows; each table is one job, however many features.
+
+    Correlations and variances all follow from one moment matrix.
+    """
+    table_of_moments = settle(moment_matrix(train, [*columns, Y]))
     table = settle(profiling.feature_groups(train, columns))
     groups = profiling.groups_by_kind(table)
     continuous = groups["continuous"]
@@ -133,13 +139,18 @@ def prep_checks(
         target=profiling.target_profile(train, Y, target),
         groups=groups,
         group_table=table,
-        correlations=settle(profiling.feature_target_correlations(train, columns, Y)),
+        correlations=settle(
+            profiling.feature_target_correlations(train, columns, Y, table_of_moments)
+        ),
         skews=skews,
         pairs=settle(
-            profiling.high_correlations(train, continuous + groups["low_card"], corr_cutoff)
+            profiling.high_correlations(
+                train, continuous + groups["low_card"], corr_cutoff, table_of_moments
+            )
         ),
-        low_variance=profiling.low_variance(train, columns),
+        low_variance=profiling.low_variance(train, columns, table_of_moments),
         scaling=profiling.scaling_advice(train, continuous, skews),
+        moments=table_of_moments,
     )
 
 
@@ -201,11 +212,10 @@ def prepare(
     if scale_columns:
         scaler = outliers.as_scaler(outliers.fit_scaler(transform(train), scale_columns))
     train, valid = transform(train), transform(valid)
-    constant = [r["feature"] for r in profiling.constant_columns(train, columns).collect()]
+    spreads = profiling.column_spreads(train, columns).collect()
+    constant = [r["feature"] for r in spreads if r["constant"]]
     columns = [c for c in columns if c not in constant]
-    variance = (
-        profiling.variances(train, columns) if drop_near_zero or drop_correlated else {}
-    )
+    variance = {r["feature"]: r["variance"] for r in spreads}
     tiny = [c for c in columns if drop_near_zero and 0 < variance[c] <= near_zero]
     columns = [c for c in columns if c not in tiny]
     correlated: list[str] = []
