@@ -63,15 +63,21 @@ def mark_by_hash(
     strata: Sequence[str] = (),
     name: str = "taken",
 ) -> DataFrame:
-    """Add a boolean that is true for exactly the quota of rows in every stratum."""
+    """Add a boolean that is true for exactly the quota of rows in every stratum.
+
+    Up to ``MAX_STRATA`` cuts become a CASE expression and no row is moved; beyond, the table of
+    cuts is joined. Rows with a null stratum are not taken.
+    """
     cuts = _cuts(df, keys, seed, quota, strata)
     h = row_hash(keys, seed)
     if not strata:
         return df.withColumn(name, F.coalesce(h <= cuts.scalar(), F.lit(False)))
-    # Strata are class labels: one cut each, as a CASE expression, so no row is moved.
+    cuts = settle(cuts)
     rows = cuts.limit(MAX_STRATA + 1).collect()
     if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
+        marked = df.join(cuts.withColumnRenamed("cut", "_cut"), list(strata), "left")
+        taken = F.coalesce(h <= F.col("_cut"), F.lit(False))
+        return marked.select(*[F.col(f"`{c}`") for c in df.columns], taken.alias(name))
     inside = F.lit(False)
     for row in rows:
         same = reduce(lambda a, b: a & b, [F.col(s) == F.lit(row[s]) for s in strata])

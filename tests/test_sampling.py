@@ -64,3 +64,11 @@ def test_stratified_cap_has_exact_size(spark):
 
 def test_cap_leaves_small_frames_whole(spark):
     assert ops.cap_rows(frame(spark), 10_000, ["k"]).count() == 500
+
+
+def test_more_strata_than_the_expression_takes(spark, monkeypatch):
+    df = frame(spark).withColumn("c", F.when(F.col("k") < 480, F.col("k") % 6))
+    want = sorted(map(tuple, ops.split_rows(df, ["k"], 0.2, 42, ["c"]).collect()))
+    monkeypatch.setattr(ops, "MAX_STRATA", 2)
+    got = ops.split_rows(df, ["k"], 0.2, 42, ["c"])
+    assert sorted(map(tuple, got.collect())) == want and got.columns[: len(df.columns)] == df.columns
