@@ -20,6 +20,7 @@ RADIUS = 4
 BYTES = 8
 _KEY = "__row_key"
 _STEP = 1 << 15  # hashes whose bits are unpacked at a time
+HOT = 1 << 16  # fingerprints of a posting that one task links by itself
 
 
 def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -178,34 +179,80 @@ def _posting_links(
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(u, v)`` links between distinct fingerprints that span the graph of all close pairs.
+def _linked_in_stream(postings: DataFrame, radius: int, hot: int | None) -> DataFrame:
+    """``(u, v, slot)`` of postings that are dealt by key, sorted and read as a stream.
 
-    ``fps`` has a column ``fp`` of distinct signed longs. Postings are dealt by key, sorted
-    within their partition and read as a stream, so a task holds one batch and the fingerprints
-    (8 bytes each) of the posting it is in.
+    A null slot marks a link ``(u, v)``. A posting that outgrows ``hot`` is passed on instead, as
+    members ``u`` of the posting ``(slot, v)``, so a task holds one batch and ``hot`` fingerprints
+    (8 bytes each) at most.
     """
-    if not 0 <= radius < BYTES:
-        raise ValueError("radius must lie in 0..7")
+
+    def linked(part: list[np.ndarray]) -> pa.RecordBatch:
+        edges = _edges(*_posting_links(*part, radius))
+        none = pa.nulls(edges.num_rows, pa.int32())
+        return pa.RecordBatch.from_arrays([*edges.columns, none], ["u", "v", "slot"])
+
+    def passed_on(part: list[np.ndarray]) -> pa.RecordBatch:
+        slots, keys, fps = map(pa.array, part)
+        return pa.RecordBatch.from_arrays([fps, keys, slots], ["u", "v", "slot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
+        outgrown = None
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if outgrown is not None:
+                more = np.count_nonzero((now[0] == outgrown[0]) & (now[1] == outgrown[1]))
+                yield passed_on([x[:more] for x in now])
+                now = [x[more:] for x in now]
             if not len(now[0]):
                 continue
+            outgrown = None
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now)]
             last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
             cut = last[-1] + 1 if len(last) else 0
             rest = [x[cut:] for x in now]
             if cut:
-                yield _edges(*_posting_links(*(x[:cut] for x in now), radius))
+                yield linked([x[:cut] for x in now])
+            if hot is not None and len(rest[0]) > hot:
+                yield passed_on(rest)
+                outgrown, rest = (rest[0][0], rest[1][0]), None
         if rest is not None:
-            yield _edges(*_posting_links(*rest, radius))
+            yield linked(rest)
+
+    dealt = postings.repartition("slot", "bytes").sortWithinPartitions("slot", "bytes")
+    return dealt.mapInArrow(run, "u bigint, v bigint, slot int")
+
+
+def _tiles(members: DataFrame, block: int) -> DataFrame:
+    """Postings ``(slot, bytes, fp)`` dealt to all pairs of their blocks, each pair a posting.
 
-    postings = _index(fps, radius).repartition("slot", "bytes")
-    return postings.sortWithinPartitions("slot", "bytes").mapInArrow(run, "u bigint, v bigint")
+    Every two members of a posting meet in a pair. Pairs are named by a hash; should two agree,
+    their members are compared as well, and only verified links leave.
+    """
+    sizes = members.groupBy("slot", "bytes").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("own")
+    cut = members.join(hand_over(sizes, "hot-sizes"), ["slot", "bytes"]).select("*", own)
+    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.xxhash64("bytes", F.least("own", "other"), F.greatest("own", "other"))
+    # A block meets itself in each of its pairs.
+    return dealt.where("own <> other OR blocks = 1").select("slot", pair.alias("bytes"), "fp")
+
+
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """``(u, v)`` links between distinct fingerprints that span the graph of all close pairs.
+
+    ``fps`` has a column ``fp`` of distinct signed longs. A posting of up to ``hot`` fingerprints
+    is linked by one task; the members of larger ones are dealt to pairs of blocks of half that
+    size, a task each, so that no posting is a single task's work.
+    """
+    if not 0 <= radius < BYTES:
+        raise ValueError("radius must lie in 0..7")
+    found = hand_over(_linked_in_stream(_index(fps, radius), radius, hot), "posting-links")
+    members = found.where("slot IS NOT NULL").select("slot", F.col("v").alias("bytes"), F.col("u").alias("fp"))
+    dealt = _linked_in_stream(_tiles(members, max(1, hot // 2)), radius, None)
+    return found.where("slot IS NULL").select("u", "v").union(dealt.select("u", "v"))
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:

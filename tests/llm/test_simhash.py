@@ -100,6 +100,31 @@ def test_large_posting_keeps_every_link():
     assert parts(list(zip(a.tolist(), b.tolist()))) == parts(every)
 
 
+def test_hot_postings_are_dealt_to_pairs_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    base, nodes = 0x0123456789ABCDEF, set()
+    for _ in range(900):  # many share the upper four bytes and more, so their postings are large
+        x = base
+        for b in rng.choice(32, rng.integers(0, 9), replace=False):
+            x ^= 1 << int(b)
+        nodes.add(x)
+    nodes |= {int(x) for x in rng.integers(0, 2**63, 200)}
+    nodes = sorted(nodes)
+    every = [(x, y) for i, x in enumerate(nodes) for y in nodes[:i] if (x ^ y).bit_count() <= 4]
+    fps = spark.createDataFrame([(n,) for n in nodes], "fp long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        members = simhash._linked_in_stream(simhash._index(fps, 4), 4, 100).where("slot IS NOT NULL")
+        assert members.groupBy("slot", "v").count().where("count > 100").count() > 1
+        for hot in (100, simhash.HOT):
+            pairs = [(r.u, r.v) for r in simhash.fingerprint_links(fps, 4, hot).collect()]
+            assert all((u ^ v).bit_count() <= 4 for u, v in pairs)
+            assert plain_parts(nodes, pairs) == plain_parts(nodes, every)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def plain_parts(nodes, pairs):
     up = {n: n for n in nodes}
 
