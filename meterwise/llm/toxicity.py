@@ -80,10 +80,11 @@ class Ftrl:
         shrunk = np.sign(z) * np.maximum(np.abs(z) - l1, 0.0)
         return -shrunk / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2)
 
-    def update(self, index: np.ndarray, label: float) -> None:
+    def update(self, index: np.ndarray, label: float, times: float = 1.0) -> None:
+        """Learn from one example that occurs ``times`` times: its gradient counts so often."""
         at = np.append(index, len(self.z) - 1)
         w = self.weights(at)
-        g = _sigmoid(w.sum()) - label
+        g = times * (_sigmoid(w.sum()) - label)
         grown = self.n[at] + g * g
         self.z[at] += g - (np.sqrt(grown) - np.sqrt(self.n[at])) / ALPHA * w
         self.n[at] = grown
@@ -96,59 +97,69 @@ def _sigmoid(x: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", fit_rows: int = FIT_ROWS, epochs: int = EPOCHS,
         bits: int = BITS) -> Model:
-    """Fit on the labelled rows, at most ``fit_rows`` of them.
-
-    ``fit_rows`` bounds the sample: labelled ids in the order of their hash, the first
-    ``fit_rows`` are used. Features are hashed in parallel; the online learner then reads them
-    as a stream in hash order, ``epochs`` times, in one task that holds its two state arrays and
-    a batch. A label that is null is no label; an id with several labels is toxic if any says so;
-    repeated documents are learnt as often as they occur. Without labels the model scores 0.5.
+    """Fit on at most ``fit_rows`` examples, the labelled documents that have a label.
+
+    Documents that share id and text are one example, weighted by how often they occur.
+    ``fit_rows`` bounds the examples themselves: the first in the order of a hash of id and text,
+    so an id on many rows neither fills the sample by one text nor adds rows to it, and labels
+    without a document take no place. Features are hashed in parallel; the online learner then
+    reads the examples as a stream in hash order, ``epochs`` times, in one task that holds its
+    two state arrays and a batch. A label that is null is no label; an id with several labels is
+    toxic if any says so; a null text is an empty one. Without examples the model scores 0.5.
     """
     size = 1 << bits
-    chosen = (
+    labelled = hand_over(
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("__id"))
-        .agg((F.max(label_col) > 0).cast("double").alias("__label"))
-        .withColumn("__order", F.xxhash64("__id"))
-        .orderBy("__order", "__id")
-        .limit(fit_rows)
+        .agg((F.max(label_col) > 0).cast("double").alias("__label")),
+        "labelled",
     )
-    chosen = hand_over(chosen, "labels")
-    # fit_rows bounds the broadcast side.
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(
-        F.broadcast(chosen), "__id"
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    texts = texts.withColumn("__body", F.xxhash64("__text"))
+    chosen = hand_over(
+        texts.select("__id", "__body").join(labelled, "__id")
+        .groupBy("__id", "__body", "__label").agg(F.count("*").cast("double").alias("__times"))
+        .withColumn("__order", F.xxhash64("__id", "__body"))
+        .orderBy("__order", "__id", "__body")
+        .limit(fit_rows),
+        "chosen",
     )
+    # fit_rows bounds the broadcast side; rows that agree are reduced where they are read.
+    once = texts.join(F.broadcast(chosen.select("__id", "__body")), ["__id", "__body"]).dropDuplicates(["__id", "__body"])
+    rows = once.join(F.broadcast(chosen), ["__id", "__body"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [distinct_features(t, bits) for t in batch.column(2).to_pylist()]
+            found = [distinct_features(t, bits) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))],
-                ["ord", "label", "features"],
+                [*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))],
+                ["ord", "label", "times", "features"],
             )
 
     examples = hand_over(
-        rows.select("__order", "__label", "__text").mapInArrow(
-            hashed, "ord bigint, label double, features array<int>"
+        rows.select("__order", "__label", "__times", "__text").mapInArrow(
+            hashed, "ord bigint, label double, times double, features array<int>"
         ),
         "examples",
     )
     # The stream holds the examples once per epoch, each epoch in the same order.
     epoch = F.explode(F.sequence(F.lit(1), F.lit(epochs)))
-    stream = examples.withColumn("epoch", epoch).repartition(1).sortWithinPartitions("epoch", "ord", "label")
+    stream = examples.withColumn("epoch", epoch).repartition(1)
+    stream = stream.sortWithinPartitions("epoch", "ord", "label", "times")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Ftrl(size)
         for batch in batches:
-            lists = batch.column(1)
-            for i, label in enumerate(batch.column(0).to_numpy()):
-                learner.update(lists[i].values.to_numpy(zero_copy_only=False), label)
+            lists = batch.column(2)
+            pairs = zip(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            for i, (label, times) in enumerate(pairs):
+                learner.update(lists[i].values.to_numpy(zero_copy_only=False), label, times)
         weight = learner.weights(np.arange(size + 1))
         at = np.append(np.flatnonzero(weight[:-1]), size)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight[at])], ["at", "weight"])
 
     # The non-zero weights and the bias.
-    rows = stream.select("label", "features").mapInArrow(learn, "at bigint, weight double").collect()
+    rows = stream.select("label", "times", "features").mapInArrow(learn, "at bigint, weight double").collect()
     found = sorted((r["at"], r["weight"]) for r in rows)
     bias = found.pop()[1] if found else 0.0
     return Model(

@@ -87,3 +87,31 @@ def test_fits_agree_and_empty_tables_work(spark, corpus):
     assert model.bias == 0.0 and not len(model.index)
     assert toxicity.predict(empty, model, {"doc_id": F.col("doc_id")}).count() == 0
     assert toxicity.drop_toxic(empty, one).count() == 0
+
+
+def test_the_sample_is_bounded_by_examples(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    seen = []
+    keep = toxicity.hand_over
+    monkeypatch.setattr(toxicity, "hand_over", lambda df, label: seen.append((label, keep(df, label))) or seen[-1][1])
+    hot = docs.where("doc_id = 1").crossJoin(spark.range(500)).drop("id")  # one labelled id on many rows
+    many = spark.range(300).selectExpr(
+        "2L AS doc_id", "concat('w', id, ' text of its own') AS text", "'' AS score", "'' AS predicted", "0 AS toxic")
+    lost = spark.range(20_000, 21_000).selectExpr("id AS doc_id", "1 AS toxic")  # labels without a document
+    rows = docs.union(hot).union(many)
+    toxicity.fit(rows, labels.union(lost), fit_rows=250)
+    tables = dict(seen)
+    assert tables["chosen"].count() == tables["examples"].count() == 250
+    seen.clear()
+    one = toxicity.fit(rows, labels.union(lost))
+    tables = dict(seen)
+    assert tables["examples"].count() == tables["chosen"].count() == 700
+    assert tables["examples"].where("times = 501").count() == 1 and tables["examples"].where("times = 1").count() == 699
+    two = toxicity.fit(rows.repartition(5), lost.union(labels))
+    assert one.bias == two.bias and np.array_equal(one.weight, two.weight)
+
+
+def test_an_example_of_two_weighs_as_its_recurrence_says():
+    learner = toxicity.Ftrl(4)
+    learner.update(np.array([2]), 1.0, 2.0)
+    assert learner.z[2] == learner.z[4] == -1.0 and learner.n[2] == 1.0 and learner.z[0] == 0.0
