@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from meterwise.llm.storage import hand_over
 
 RECORDS_PER_FILE = 6000
+#: Uncompressed bytes of pages that a file holds (a larger page has a file of its own), and the
+#: bytes of page and address up to which a capture belongs to a size class; the last has no end.
+FILE_BYTES = 1 << 28
+SIZE_CLASSES = (1 << 17, 1 << 20, 1 << 23, 1 << 26)
 #: Fixed values of the format: version line, profile of revisits by digest, base32 letters.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,11 +60,14 @@ def _urn(role: str) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
-                   html_col: str = "html", records_per_file: int = RECORDS_PER_FILE) -> None:
+                   html_col: str = "html", records_per_file: int = RECORDS_PER_FILE,
+                   file_bytes: int = FILE_BYTES) -> None:
     """Write a request, a response or revisit, and a metadata record for every row of ``pages``.
 
     Files are gzip-compressed, hold at most ``records_per_file`` records and are written by
-    Spark to ``path``. The payload is the html in UTF-8, null as empty. Of rows with equal
+    Spark to ``path``. Captures are written by size class, each with as many records a file as
+    keep it within about ``file_bytes`` uncompressed; there are five classes at most, and one
+    pass if all pages are small. The payload is the html in UTF-8, null as empty. Of rows with equal
     payloads, those with the largest id are responses (one, unless the row repeats); the others
     are revisits that refer to its id and carry the digest, but not the payload. A null id is
     smaller than any other and is written as no id.
@@ -79,11 +86,35 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         .where("n > 1")
         .select("__digest", "__winner")
     )
+    size = F.octet_length("__html") + 2 * F.octet_length("__url")
+    rows = rows.withColumn("__class", sum((size > end).cast("int") for end in SIZE_CLASSES))
+    present = sorted(r[0] for r in rows.select("__class").distinct().collect())  # five at most
     rows = rows.join(hand_over(winners, "winners"), "__digest", "left")
+    for k, held in enumerate(present or [0]):
+        # A class holds captures up to its end; three records each.
+        fitting = 3 * (file_bytes // SIZE_CLASSES[held]) if held < len(SIZE_CLASSES) else 3
+        per_file = max(3, min(records_per_file, fitting))
+        # A folder for each class; written so, tasks without captures leave no file.
+        records = _records(rows.where(F.col("__class") == held)).withColumn("size", F.lit(held))
+        (
+            records.write.mode("append" if k else "errorifexists")
+            .partitionBy("size")
+            .option("lineSep", _NL)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", per_file)
+            .text(path)
+        )
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """The three records of every capture, as ``value``."""
     # A name for the capture that no other row has; its three records are written together.
     rows = rows.withColumn(
         "__capture",
-        F.concat_ws("-", F.coalesce(F.col("__id").cast("string"), F.lit("none")), F.hex(F.monotonically_increasing_id())),
+        F.concat_ws(
+            "-", F.coalesce(F.col("__id").cast("string"), F.lit("none")), "__class",
+            F.hex(F.monotonically_increasing_id()),
+        ),
     )
     revisit = F.col("__winner").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__winner"))
     uri = ("WARC-Target-URI", F.col("__url"))
@@ -112,13 +143,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             F.lit("payloadBytes: "), F.octet_length("__html").cast("string"), F.lit(_NL),
         ),
     )
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    (
-        records.write.option("lineSep", _NL)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", records_per_file)
-        .text(path)
-    )
+    return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
 class _Stream:
@@ -165,7 +190,7 @@ def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and blocks of a gzip archive, framed by Content-Length alone."""
     stream = _Stream(content)
     while (head := stream.until(b"\r\n\r\n")) is not None:
-        version, *lines = head.decode("utf-8").split(_NL)
+        version, *lines = head.decode("utf-8", "replace").split(_NL)
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record: {version[:40]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
@@ -180,7 +205,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     ``digest`` is computed from the payload for responses and taken from the header for
     revisits; ``fields`` are the lines of a metadata block. Without ``payloads`` the payload
-    column is null. A task holds a compressed file and one record.
+    column is null. Bytes that are not UTF-8 read as U+FFFD; digest and ``block_bytes`` are those
+    of the bytes. A task holds a compressed file and one record.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +243,9 @@ def _describe(headers: dict[str, str], block: bytes, payloads: bool) -> dict:
         payload = block.partition(b"\r\n\r\n")[2]
         row["digest"] = base64.b32encode(hashlib.sha1(payload).digest()).decode()
         row["block_bytes"] = len(payload)
-        row["payload"] = payload.decode("utf-8") if payloads else None
+        row["payload"] = payload.decode("utf-8", "replace") if payloads else None
     elif kind == "metadata":
-        pairs = re.findall(r"([^:\r\n]+): ([^\r\n]*)\r\n", block.decode("utf-8"))
+        pairs = re.findall(r"([^:\r\n]+): ([^\r\n]*)\r\n", block.decode("utf-8", "replace"))
         row["fields"] = pairs
     return row
 

@@ -59,6 +59,30 @@ def test_archives_are_framed_by_length(spark, written):
     assert len(kinds) == 3 * len(ROWS) and kinds.count("request") == kinds.count("metadata") == len(ROWS)
 
 
+def test_files_are_bounded_by_bytes(spark):
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    pages = [(i, "http://s/", f"small {i}") for i in range(30)] + [(100 + i, "http://m/", f"{i}" * 200_000) for i in range(10, 20)]
+    pages += [(200 + i, "http://l/", "xyz"[i] * 1_500_000) for i in range(3)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in pages], SCHEMA).coalesce(1)
+    warc.write_archives(df, path, file_bytes=1 << 22)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()
+    sizes = sorted(len(gzip.decompress(bytes(f.content))) for f in files)
+    # 30 small captures fill one file, four of up to 1 MB another, each larger one has its own.
+    assert len(sizes) == 1 + 3 + 3 and sizes[-1] < 1 << 22
+    got = warc.assemble(warc.read_archives(spark, path)).collect()
+    assert len({r.capture for r in got}) == len(pages)
+    assert sorted((int(r.metadata.fields["pageId"]), r.response.payload) for r in got) == sorted((p, h) for p, _, h in pages)
+
+
+def test_foreign_payloads_that_are_not_utf8():
+    headers = {"warc-type": "response", "warc-record-id": "<urn:x>"}
+    body = b"caf\xe9 \xff"
+    row = warc._describe(headers, b"HTTP/1.1 200 OK\r\n\r\n" + body, True)
+    assert row["payload"] == "caf\ufffd \ufffd" and row["block_bytes"] == len(body)
+    assert row["digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode()
+    assert warc._describe({**headers, "warc-type": "metadata"}, b"a: \xff\r\n", True)["fields"] == [("a", "\ufffd")]
+
+
 def test_members_and_broken_archives():
     record = lambda n: f"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: {n}\r\n\r\n".encode()
     one, two = record(3) + b"abc\r\n\r\n", record(0) + b"\r\n\r\n"
