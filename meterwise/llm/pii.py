@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterwise.functions.sizing import broadcast_within
 from meterwise.llm.native import chunks, cut, let, sums_before
 from meterwise.llm.storage import hand_over, row_key
 
@@ -224,14 +223,14 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str, units: DataFra
     """
     n = max(1, found.count())
     held = found.where(F.size("units") > 0).select("terms", F.explode("units").alias("u")).select("terms", "u.*")
-    held = held.alias("h").join(broadcast_within(units).alias("u"), _same_unit("h", "u"), "left_semi")
+    held = held.alias("h").join(units.alias("u"), _same_unit("h", "u"), "left_semi")
     pairs = held.select("kind", "entity", "context", F.explode("terms").alias("term"))
     near = _counted(pairs, [*_UNIT, "term"], "joint").where(F.col("contexts") >= min_contexts)
     near = hand_over(near.drop("contexts"), "near")
     words = docs.select(F.explode(_terms(F.col(text_col))).alias("term"))
-    words = words.join(broadcast_within(near.select("term").distinct()), "term", "left_semi")
+    words = words.join(hand_over(near.select("term").distinct(), "near-terms"), "term", "left_semi")
     terms = hand_over(words.groupBy("term").agg(F.count("*").alias("with_term")), "terms")
-    rated = near.alias("p").join(broadcast_within(units).alias("u"), _same_unit("p", "u")).select(
+    rated = near.alias("p").join(units.alias("u"), _same_unit("p", "u")).select(
         "p.*", "u.with_entity").join(terms, "term")
     share = F.col("with_entity") / F.lit(n)
     prior = F.when(F.col("entity").isNull(), PRIOR).otherwise(0)
@@ -254,6 +253,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as often as they occur and every one counts in all statistics. An entity that
     every document holds has nothing to disclose. Other columns are not read. An empty table
     gives an empty one.
+
+    The tables that are joined are handed over, so Spark knows their bytes: it broadcasts those
+    below ``spark.sql.autoBroadcastJoinThreshold`` and joins the others by key.
     """
     found = hand_over(protected(docs, id_col, text_col), "protected")
     units = hand_over(units_of(found, min_contexts), "units")
@@ -267,19 +269,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # What a document protects: its values, or the class where a value could not be rated.
     held = found.where(F.size("units") > 0).select("key", "terms", F.explode("units").alias("u"))
     held = held.select("key", "terms", "u.kind", "u.entity").where("entity IS NOT NULL")
-    own = broadcast_within(units.where("entity IS NOT NULL").select(*_UNIT, F.lit(True).alias("own")))
+    own = units.where("entity IS NOT NULL").select(*_UNIT, F.lit(True).alias("own"))
     held = held.join(own, _UNIT, "left").select(
         "key", "terms", "kind", F.when(F.col("own"), F.col("entity")).alias("entity")
     ).distinct()
     wanted = (
         held.select("key", *_UNIT, F.explode("terms").alias("term")).alias("h")
-        .join(broadcast_within(telling).alias("t"), _same_unit("h", "t") & (F.col("h.term") == F.col("t.term")))
+        .join(telling.alias("t"), _same_unit("h", "t") & (F.col("h.term") == F.col("t.term")))
         .groupBy("h.key", "h.term").agg(F.min("t.place").alias("place"))
         .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "place"))).alias("wanted"))
     )
     wanted = hand_over(wanted, "wanted")
     texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = texts.join(broadcast_within(wanted), "key").dropDuplicates(["key"])
+    texts = texts.join(wanted, "key").dropDuplicates(["key"])
     added = texts.select(
         "key",
         F.transform(

@@ -122,3 +122,54 @@ def test_repeated_rows_count_alike_in_all_shares(spark):
     from math import log2
 
     assert got["me@corp.example", "zorblax"] == pytest.approx(1 - log2(18 / 24) / log2(18 / 1000))
+
+
+def test_disclosures_of_a_whole_table_match_plain_counts(spark):
+    from collections import defaultdict
+    from math import log2
+
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.001/documents.parquet"
+    docs = spark.read.parquet(sf)
+    found = pii.protected(docs, "doc_id", "text").cache()
+    rated = pii.disclosures(found, docs, "text", pii.units_of(found, 2), min_contexts=2)
+    got = {(r.kind, r.entity, r.term): r.disclosure for r in rated.collect()}
+
+    texts = [t or "" for t in pq.read_table(sf).column("text").to_pylist()]
+    terms = []
+    for t in texts:
+        found_terms = set()
+        for m in re.finditer(r"(?<=[\s(\"'])[^\W\d_](?:[^\W\d_]|['’-]){2,}", " " + t + " "):
+            if re.match(r"[,.;:!?)\"']{0,3}\s", (" " + t + " ")[m.end():]):
+                found_terms.add(m.group().lower())
+        terms.append(found_terms)
+    with_term = defaultdict(int)
+    for x in terms:
+        for w in x:
+            with_term[w] += 1
+    # A document with several values has several contexts; here their set stands for the least.
+    docs_of, contexts_of = defaultdict(int), defaultdict(set)
+    joint, joint_contexts = defaultdict(int), defaultdict(set)
+    for t, x in zip(texts, terms):
+        units = defaultdict(set)
+        for start, _, end, kind in plain(t):
+            value = t[start:end]
+            entity = value.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", value)
+            context = (t[max(0, start - 64):start], t[end:end + 64])
+            units[kind, entity].add(context)
+            units[kind, None].add(context)
+        for unit, seen in units.items():
+            docs_of[unit] += 1
+            contexts_of[unit].add(frozenset(seen) if len(seen) > 1 else next(iter(seen)))
+            for w in x:
+                joint[*unit, w] += 1
+                joint_contexts[*unit, w].add(frozenset(seen) if len(seen) > 1 else next(iter(seen)))
+    want = {}
+    for (kind, entity, w), n in joint.items():
+        if len(contexts_of[kind, entity]) >= 2 and len(joint_contexts[kind, entity, w]) >= 2:
+            share, prior = docs_of[kind, entity] / len(texts), 0 if entity else pii.PRIOR
+            want[kind, entity, w] = 1 - log2((n + prior * share) / (with_term[w] + prior)) / log2(share)
+    assert len(want) > 50
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
