@@ -111,3 +111,21 @@ def test_euclidean_silhouette_matches_all_pairs(spark, monkeypatch):
     assert got["l1"] == pytest.approx(plain(one), abs=1e-12) and got["l2"] == pytest.approx(plain(two), abs=1e-12)
     assert got["l3"] is None and ops.euclidean_silhouettes(df.limit(2), ["a"], ["l1"]).first()["silhouette"] is None
     assert ops.euclidean_silhouettes(df.limit(0), ["a"], ["l1"]).first()["silhouette"] is None
+
+
+def test_a_silhouette_row_meets_few_large_blocks_in_parts(spark, monkeypatch):
+    # A row of the full sample is sent to so many blocks and gets as many lines of sums.
+    assert -(-ops.SILHOUETTE_ROWS // ops._BLOCK_ROWS) <= 25
+    rng = np.random.default_rng(4)
+    x, label = rng.normal(size=(70, 2)), rng.integers(0, 3, 70)
+    rows = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, label)], "a double, b double, l int")
+    whole = ops.euclidean_silhouettes(rows, ["a", "b"], ["l"]).first()["silhouette"]
+    monkeypatch.setattr(ops, "_PART", (7, 11))
+    assert ops.euclidean_silhouettes(rows, ["a", "b"], ["l"]).first()["silhouette"] == pytest.approx(whole, rel=1e-12)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    scores = []
+    for i, c in enumerate(label):
+        own = far[i, label == c].sum() / ((label == c).sum() - 1)
+        near = min(far[i, label == o].mean() for o in {*label} - {c})
+        scores.append((near - own) / max(near, own))
+    assert whole == pytest.approx(np.mean(scores), rel=1e-9)
