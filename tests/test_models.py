@@ -145,6 +145,17 @@ def test_staged_trees_are_those_of_boosting_at_once(clean):
     assert model.featureImportances.toArray() == pytest.approx(whole.featureImportances.toArray(), abs=0.01)
 
 
+def test_boosting_states_share_the_cached_rows(clean):
+    marked = _marked(clean).persist()
+    states = [plan.boosting.start(marked, 0.1) for _ in range(3)]
+    assert not any(s.rows.is_cached for s in states)
+    assert all("InMemoryTableScan" in s.rows._jdf.queryExecution().executedPlan().toString() for s in states)
+    for s in states:
+        s.close()
+    assert marked.is_cached
+    marked.unpersist()
+
+
 def test_boosting_stops_after_its_patience_and_resumes(clean):
     marked = _marked(clean)
     eager = {**BOOSTED, "n_estimators": 200, "learning_rate": 0.9, "num_leaves": 31}
