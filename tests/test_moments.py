@@ -39,3 +39,18 @@ def test_no_rows_and_no_values(spark):
     got = {(r.feature_1, r.feature_2): r for r in moments.moment_matrix(nulls, ["a", "b"]).collect()}
     assert got["a", "a"].pairs == 0 and got["b", "b"].spread_1 == 0.5
     assert moments.sample_variances(moments.moment_matrix(nulls, ["a"])).first().variance is None
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_moments_of_single_columns(spark, rows, parts):
+    cells = [[*row, None, float("nan") if k % 2 else 1.0] for k, row in enumerate(rows)]
+    df = spark.createDataFrame(cells, "`a.b` double, c double, d double, e double, f double, g double").repartition(parts)
+    got = {r.feature: r for r in moments.column_moments(df, ["a.b", "c", "d", "e", "f", "g"]).collect()}
+    data = np.array([[np.nan if v is None else v for v in row] for row in rows])
+    for k, c in enumerate(["a.b", "c", "d", "e"]):
+        assert (got[c].rows, got[c].filled) == (500, (~np.isnan(data[:, k])).sum())
+        assert (got[c].low, got[c].high) == (np.nanmin(data[:, k]), np.nanmax(data[:, k]))
+        assert got[c].variance == pytest.approx(np.nanvar(data[:, k], ddof=1), rel=1e-9)
+    assert got["f"].filled == 0 and got["f"].low is None and got["f"].high is None and got["f"].variance is None
+    assert got["g"].low == 1.0 and np.isnan(got["g"].high)
+    assert moments.column_moments(df.where("false"), ["c"]).collect() == []

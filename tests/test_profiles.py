@@ -131,3 +131,37 @@ def test_median_fill_and_population_scaling(spark, df, table):
     assert scaler["x"][1] == pytest.approx(table["x"].std(ddof=0))
     back = outliers.unscale(outliers.scale(df.select("x"), {"x": scaler["x"]}), {"x": scaler["x"]})
     assert back.toPandas()["x"].to_numpy() == pytest.approx(table["x"].to_numpy())
+
+
+def test_spearman_pairs_only_features_with_nulls(df, table, monkeypatch):
+    asked = []
+    pair_sums = ops._pair_sums
+    monkeypatch.setattr(ops, "_pair_sums", lambda rows, columns, y: asked.extend(columns) or pair_sums(rows, columns, y))
+    whole = by(ops.spearman_with_target(df, ["x", "flag", "same", "hour_Late"]).collect(), "feature")
+    assert not asked and set(whole) == {"x", "flag", "hour_Late"}
+    both = by(ops.spearman_with_target(df, COLS).collect(), "feature")
+    assert asked == ["few"] and both["few"]["spearman_corr"] is not None
+    assert whole["x"]["spearman_corr"] == pytest.approx(table["x"].rank().corr(table["y"].rank()), abs=1e-12)
+
+
+def test_spearman_leaves_out_rows_without_a_target(spark):
+    rows = [(1.0, 5.0, 1.0), (2.0, None, 9.0), (2.0, 4.0, None), (3.0, 1.0, 4.0), (4.0, 1.0, 3.0), (9.0, None, None)]
+    frame = pd.DataFrame(rows, columns=["a", "y", "b"])
+    got = by(ops.spearman_with_target(spark.createDataFrame(rows, "a double, y double, b double"), ["a", "b"]).collect(), "feature")
+    for c in "ab":
+        kept = frame[[c, "y"]].dropna()
+        assert got[c]["spearman_corr"] == pytest.approx(kept[c].rank().corr(kept["y"].rank()), abs=1e-12)
+
+
+def test_profiles_follow_from_given_counts(spark, df):
+    counts = ops.column_counts(df, COLS)
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    none = spark.createDataFrame([], df.schema)  # with counts given, the rows are not read again
+    for given, made in (
+        (ops.feature_groups(none, COLS, counts=counts), ops.feature_groups(df, COLS)),
+        (ops.skew_profile(none, ["x", "few"], counts=counts), ops.skew_profile(df, ["x", "few"])),
+    ):
+        one, two = (by(table.collect(), "feature") for table in (given, made))
+        assert set(one) == set(two)
+        for c in one:
+            assert [pytest.approx(v, rel=1e-9) if isinstance(v, float) else v for v in one[c]] == list(two[c])

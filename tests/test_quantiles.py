@@ -73,3 +73,11 @@ def test_one_group_in_a_narrow_band_spreads_over_the_ranges(spark, monkeypatch):
     sizes = [r["count"] for r in settled[0].groupBy("_range").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 0.4 * 40_000
     assert (ranked["n_before"].to_numpy() == np.arange(len(ranked))).all() and set(ranked["n_total"]) == {40_000}
+
+
+def test_counts_of_columns_with_nulls_nan_and_signed_zero(spark):
+    rows = [(1.0, 0.0, None), (1.0, -0.0, None), (None, float("nan"), None), (3.0, 7.0, None), (2.0, float("nan"), None)]
+    df = spark.createDataFrame(rows, "`a.b` double, c double, d double").repartition(3)
+    got = {(r["column"], str(r["value"])): (r["n"], r["ranked"], r["rank_sum"]) for r in ops.column_counts(df, ["a.b", "c", "d"], "c").collect()}
+    assert got["a.b", "1.0"] == (2, 2, 0.0) and got["a.b", "None"][0] == 1 and got["a.b", "3.0"] == (1, 1, 7.0)
+    assert got["c", "0.0"][0] == 2 and got["c", "nan"][0] == 2 and got["d", "None"][0] == 5 and len(got) == 8
