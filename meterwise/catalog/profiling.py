@@ -8,6 +8,9 @@ from meterwise.catalog.common import clean
 from meterwise.catalog.features import DUMMIES, FEATURES, MATRIX, NUMERIC, matrix
 from meterwise.catalog.zones import rounded
 from meterwise.operators import profiling as ops
+from meterwise.operators.moments import moment_matrix
+from meterwise.operators.quantiles import column_counts
+from meterwise.session import settle
 
 CONTINUOUS = ["trip_distance", "duration_min", "speed_mph", "fare_amount"]
 LOW_CARD = ["passenger_count", "extra"]
@@ -253,7 +256,8 @@ FROM (SELECT max(std) / min(std) AS std_ratio, max(span) / min(span) AS range_ra
 )
 def scaling_advice(spark, sf):
     rows = matrix(spark, sf)
-    out = ops.scaling_advice(rows, CONTINUOUS, ops.skew_profile(rows, CONTINUOUS))
+    counts = settle(column_counts(rows, CONTINUOUS))
+    out = ops.scaling_advice(rows, CONTINUOUS, ops.skew_profile(rows, CONTINUOUS, counts=counts), counts)
     return rounded(out, "std_ratio", "range_ratio", "skew_flag_rate_pct")
 
 
@@ -307,10 +311,13 @@ def axis_limits(spark, sf):
     ),
 )
 def profile_counts(spark, sf):
+    # Two scans of the cleaner, one for the moments and one for the counted values.
     rows = matrix(spark, sf)
+    moments = settle(moment_matrix(rows, FEATURES))
+    counts = settle(column_counts(rows, [c for c in FEATURES if not c.startswith(C.DUMMY_PREFIXES)]))
     return ops.profile_counts(
-        ops.feature_groups(rows, FEATURES),
-        ops.high_correlations(rows, _PAIRS),
-        ops.low_variance(rows, FEATURES),
-        ops.scaling_advice(rows, CONTINUOUS, ops.skew_profile(rows, CONTINUOUS)),
+        ops.feature_groups(rows, FEATURES, counts=counts),
+        ops.high_correlations(rows, _PAIRS, moments=moments),
+        ops.low_variance(rows, FEATURES, moments),
+        ops.scaling_advice(rows, CONTINUOUS, ops.skew_profile(rows, CONTINUOUS, counts=counts), counts),
     )
