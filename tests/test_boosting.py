@@ -59,3 +59,30 @@ def test_random_numbers_are_those_of_spark(spark):
         assert [theirs.nextDouble() for _ in range(701)] == [*ours, trees.doubles(state, 1)[0][0]]
         java, own = jvm.java.util.Random(seed), trees.JavaRandom(seed)
         assert [java.nextLong() for _ in range(9)] == [own.long() for _ in range(9)]
+
+
+def test_registered_models_run_at_full_size(spark, monkeypatch):
+    from meterwise.catalog import modelling
+
+    asked = []
+
+    def fit(*_, **more):
+        asked.append(more)
+        raise StopIteration
+
+    monkeypatch.setattr(modelling, "package", lambda *_: None)
+    monkeypatch.setattr(modelling, "report", lambda *_: None)
+    monkeypatch.setattr(modelling.plan, "fit_boosted", fit)
+    monkeypatch.setattr(modelling.plan, "model_years", lambda *_, **more: asked.append(more))
+    with pytest.raises(StopIteration):
+        modelling.tune_boosted(spark, "/root/testdata/sf0.001")
+    modelling.model_years(spark, "/root/testdata/sf0.001")
+    assert asked == [{"trials": 40}, {}]
+
+
+def test_a_fit_goes_on_from_the_best_trial(spark):
+    rows = _rows(spark, 3000, 2)
+    begun = plan.fit_boosted_to_best({**PARAMS, "n_estimators": 4}, 5, rows, 99)
+    whole, more = (plan.fit_boosted_to_best({**PARAMS, "n_estimators": 7}, 5, rows, 99, b) for b in (None, begun))
+    assert more.losses == pytest.approx(whole.losses, rel=1e-12) and more.trees[:4] == begun.trees and len(begun.trees) == 4
+    rows.unpersist()
